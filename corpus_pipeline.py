@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import mixing, quality
+from threadloom.llm import dedup, mixing, quality
 from threadloom.llm.common import durable
 
 STAGES = [
     ("quality rules", quality.stage),
+    ("near-dedup", dedup.stage),
     ("mixing", mixing.stage),
 ]
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ BROADCAST_BYTES = 8 << 20
 _own_folders: list = []
 
 
+def ship(module_name: str) -> None:
+    """Send a module's functions to executors by value, so that they need not have this package."""
+    register_pickle_by_value(sys.modules[module_name])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
