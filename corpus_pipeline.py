@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import dedup, mixing, quality
+from threadloom.llm import dedup, langid, mixing, packing, quality
 from threadloom.llm.common import durable
 
 STAGES = [
     ("quality rules", quality.stage),
+    ("language ID", langid.stage),
     ("near-dedup", dedup.stage),
     ("mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: Language profiles, MinHash and packing have no SQL form; tests hold the run against brute force.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, dedup, fingerprint, mixing, quality, urls
+from . import chat, dedup, fingerprint, langid, mixing, packing, quality, urls
 
 QUERIES = {
     "op1_chat_format": chat.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op3_fingerprints": fingerprint.query,
     "op4_mixing": mixing.query,
     "op6_url_filters": urls.query,
+    "op7_language_id": langid.query,
+    "op8_packing": packing.query,
     "op9_near_dedup": dedup.query,
     "pipeline": corpus_pipeline.run,
 }
