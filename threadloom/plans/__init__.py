@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("eda", "text", "analysis", "models")
 
 
 def load_all():
