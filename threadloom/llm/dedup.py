@@ -3,14 +3,14 @@
 1. One Arrow pass turns each text into its shingle set's size and 128-bit id,
    MinHash bands, and an odd sketch (the MinHash samples folded into a parity bitmap).
 2. Documents with equal sets are one class; only its smallest id goes on.
-3. Band buckets pair each member with the bucket's smallest member, its hub: a
-   star, not all pairs. Odd sketches drop hubs that are plainly unlike.
+3. Band buckets pair each member with the bucket's hub, the member with most
+   company: a star, not all pairs. Odd sketches drop hubs that are plainly unlike.
 4. Full sets decide each star pair. What a member adds to and lacks of its hub
    (its difference) is kept.
-5. Members not linked to their hub may link to each other. Two such members must
-   share over 4/9 of a difference (see ``_missed``), so an exact prefix join on
-   difference elements finds them without trying all pairs of the group. Members
-   unlike their hub are compared among themselves, sketches first.
+5. Members that the stars leave in another component than their hub may link to
+   other members. Such pairs share over 4/9 of a difference (see ``_missed``), so an
+   exact prefix join on the rarest difference elements finds them without trying all
+   pairs of the group. Members unlike their hub are compared by sketches first.
 6. Links make components by alternating large and small stars.
 
 Every link that the bands propose is confirmed on full sets. A pair at similarity
@@ -20,7 +20,7 @@ Every link that the bands propose is confirmed on full sets. A pair at similarit
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, ship, sized_join
@@ -173,18 +173,25 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _missed(diffs: DataFrame) -> DataFrame:
-    """Links between members of one hub of which one, x, is not linked to the hub.
+    """Links between two members of one hub of which one, x, is in another component than the hub.
 
     With D the difference from the hub h, x and y differ in |Dx| + |Dy| - 2|Dx n Dy|
     elements, at most (|x| + |y|) / 9 if they link; |Dx| is above (|x| + |h|) / 9. So
     18 |Dx n Dy| > 9 |Dy| + |h| - |y|: y shares at least t elements of its difference,
-    hence one of any |Dy| - t + 1 of them. The first ones are what y adds, which few
-    others have.
+    hence one of any |Dy| - t + 1 of them. Those that fewest x have are tried: what y
+    adds to the hub is mostly its own, so few pairs are.
     """
-    x = diffs.where("not linked").select("hub", F.col("doc").alias("x"), F.explode("diff").alias("e"))
+    apart = diffs.where("part <> hub_part")
+    x = apart.select("hub", F.col("doc").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("nx"), F.explode("diff").alias("e"))
+    held = x.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("held"))
     t = F.expr("(9 * size(diff) + n_hub - n) div 18 + 1")
-    y = diffs.select("hub", F.col("doc").alias("y"), F.explode(F.slice("diff", F.lit(1), F.greatest(F.size("diff") - t + 1, F.lit(0)).cast("int"))).alias("e"))
-    tried = x.join(y, ["hub", "e"]).where("x <> y").select("hub", "x", "y").distinct()
+    y = diffs.join(apart.select("hub").distinct(), "hub", "left_semi").withColumn("k", F.size("diff") - t + 1)
+    y = y.select("hub", F.col("doc").alias("y"), F.col("part").alias("part_y"), F.col("n").alias("ny"), "k", F.explode("diff").alias("e"))
+    y = y.join(held, ["hub", "e"], "left").withColumn("r", F.row_number().over(Window.partitionBy("hub", "y").orderBy(F.col("held").asc_nulls_first(), "e")))
+    y = y.where("r <= k and held is not null").select("hub", "y", "part_y", "ny", "e")
+    like = 100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")
+    tried = x.join(y, ["hub", "e"]).where(like & (F.col("part_x") != F.col("part_y"))).select("hub", "x", "y").distinct()
+    tried = tried.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("hub").alias("hub"))
     side = lambda v: diffs.select("hub", F.col("doc").alias(v), F.col("diff").alias(f"d{v}"), F.col("n").alias(f"n{v}"))
     both = tried.join(side("x"), ["hub", "x"]).join(side("y"), ["hub", "y"])
     sym = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
@@ -192,17 +199,31 @@ def _missed(diffs: DataFrame) -> DataFrame:
 
 
 def _among(members: DataFrame, apart: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of a bucket that are all unlike its hub."""
-    left = members.join(apart, ["hub", "doc"], "left_semi").select("key", "doc")
+    """Links of members that are plainly unlike their hub, with each other or with others below 0.65."""
+    left = members.join(apart, ["hub", "doc"]).select("key", "doc", "unlike")
+    left = left.join(left.where("unlike").select("key").distinct(), "key", "left_semi")
     left = durable(left.join(reps.select("doc", "odd", "n"), "doc"), "apart")
-    other = left.select("key", F.col("doc").alias("b"), F.col("odd").alias("odd_b"), F.col("n").alias("n_b"))
-    near = (F.col("doc") < F.col("b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")) & (_bits("odd", "odd_b") <= MOST_BITS)
+    other = left.select("key", F.col("doc").alias("b"), F.col("odd").alias("odd_b"), F.col("n").alias("n_b"), F.col("unlike").alias("unlike_b"))
+    near = (F.col("doc") < F.col("b")) & (F.col("unlike") | F.col("unlike_b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")) & (_bits("odd", "odd_b") <= MOST_BITS)
     pairs = left.join(other, "key").where(near).select(F.col("doc").alias("a"), "b").distinct()
     full = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return full.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _with_hubs(keys: DataFrame) -> DataFrame:
+    """``key, hub, doc`` of bands that two documents or more share.
+
+    A bucket's hub is the member with most company over all its bands (ties: smallest
+    id): in a group of edited copies that is the text they were made from, or nearly.
+    """
+    shared = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("company")).where("first < last").select("key", "company")
+    members = durable(keys.join(shared, "key").select("key", "doc", "company"), "shared")
+    rank = members.groupBy("doc").agg(F.sum("company").alias("rank"))
+    hubs = members.join(rank, "doc").groupBy("key").agg(F.max(F.struct("rank", (-F.col("doc")).alias("d"))).alias("best")).select("key", (-F.col("best.d")).alias("hub"))
+    return durable(members.join(hubs, "key").select("key", "hub", "doc"), "members")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``doc, component`` (the smallest id reachable) for each id in ``a, b`` links.
 
@@ -241,15 +262,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = keyed.join(classes.select(F.col("rep").alias("doc"), "high", "low"), ["doc", "high", "low"]).dropDuplicates(["doc", "high", "low"])
     reps = durable(reps.select("doc", "n", "bands", "odd"), "reps")
     keys = reps.select("doc", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("key", "hub")
-    members = durable(keys.join(shared, "key").select("key", "hub", "doc"), "members")
+    members = _with_hubs(keys)
     wanted = durable(members.select("doc").distinct(), "wanted")
     sets = durable(sized_join(rows, wanted, "doc", "left_semi", 16).mapInArrow(_sets, "doc bigint, set array<bigint>"), "sets")
     star = durable(_star(members, reps), "star")
     diffs = durable(_differences(star.where("not unlike").select("hub", "doc"), sets), "differences")
-    # A member below 0.65 may link to one below 0.85 - 0.2: such pairs are both here or both near the hub.
-    apart = star.where("unlike").select("hub", "doc").unionByName(diffs.where("similarity < 0.65").select("hub", "doc"))
-    links = diffs.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b")).unionByName(_missed(diffs)).unionByName(_among(members, apart, reps, sets))
+    # First the stars' components: only pairs of different ones need trying.
+    stars = durable(components(diffs.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b"))), "stars")
+    part = lambda c, new: stars.select(F.col("doc").alias(c), F.col("component").alias(new))
+    diffs = diffs.join(part("doc", "part"), "doc", "left").join(part("hub", "hub_part"), "hub", "left").withColumn("part", F.coalesce("part", "doc")).withColumn("hub_part", F.coalesce("hub_part", "hub"))
+    # A member unlike its hub may link to one below 0.65 (0.45 and 0.2): such pairs are tried by sketch.
+    apart = star.where("unlike").select("hub", "doc", "unlike").unionByName(diffs.where("similarity < 0.65").select("hub", "doc", F.lit(False).alias("unlike")))
+    links = stars.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionByName(_missed(diffs)).unionByName(_among(members, apart, reps, sets))
     parts = components(links)
     of_class = classes.join(parts.withColumnRenamed("doc", "rep"), "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc", "n", "high", "low").join(of_class, ["high", "low"], "left")
