@@ -77,7 +77,7 @@ def encode(a: Column) -> Column:
 
 def decode(text: Column) -> Column:
     """A sketch from its text."""
-    pieces = F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.length(text) / 16 - 1), lambda i: F.substring(text, (i * 16 + 1).cast("int"), F.lit(16))))
+    pieces = F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(text) / 16).cast("int") - 1), lambda i: F.substring(text, (i * 16 + 1).cast("int"), F.lit(16))))
     high = lambda p: F.conv(F.substring(p, 1, 8), 16, 10).cast("long")
     low = lambda p: F.conv(F.substring(p, 9, 8), 16, 10).cast("long")
     return F.transform(pieces, lambda p: F.shiftleft(high(p), 32).bitwiseOR(low(p)))
