@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import split_words, tokenize
 from ..kernels import ship
@@ -133,7 +134,7 @@ def _alike(a: list[str], b: list[str]) -> float:
     return sum(1.0 if w in whole else 0.8 if w[:4] in four else 0.5 if w[:2] in two else 0.2 for w in a) / len(a)
 
 
-@F.pandas_udf("precision double, recall double, f1 double")
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("precision", "recall", "f1")]))
 def token_overlap_matcher(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
     """Precision, recall and F1 by greedy best matches of tokens."""
     rows = []

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from . import ship
 
@@ -42,7 +43,7 @@ def chi2_tail(x: float, dof: float) -> float:
     return h * scale
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(a, b) if a == a and b == b else None for a, b in zip(x, dof, strict=True)])
 
@@ -113,6 +114,6 @@ def bimodality_vote(values) -> dict:
     return {"verdict": "bimodal" if votes >= 2 else "unimodal", "votes": votes, "dip_p": p, "separation": sep, "coefficient": coefficient}
 
 
-@F.pandas_udf("verdict string, votes int, dip_p double, separation double, coefficient double")
+@F.pandas_udf(StructType([StructField("verdict", StringType()), StructField("votes", IntegerType()), *(StructField(c, DoubleType()) for c in ("dip_p", "separation", "coefficient"))]))
 def vote(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([bimodality_vote(v) for v in values])

@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-#: Columns of the canonical tables, as DDL.
-POST = StructType.fromDDL("id bigint, tweet string, user_id bigint, comment_to bigint, thread_id bigint, round bigint, shared_from bigint, reaction_count bigint")
-ROUNDS = StructType.fromDDL("id bigint, day int, hour int")
-REACTIONS = StructType.fromDDL("id bigint, post_id bigint, user_id bigint, type string")
-INTERESTS = StructType.fromDDL("iid bigint, interest string")
-POST_TOPICS = StructType.fromDDL("id bigint, post_id bigint, topic_id bigint")
-HASHTAGS = StructType.fromDDL("id bigint, hashtag string")
-POST_HASHTAGS = StructType.fromDDL("id bigint, post_id bigint, hashtag_id bigint")
-USERS = StructType.fromDDL("id bigint, ex string, oe string, co string, ag string, ne string, gender string, leaning string, age int, education_level string")
+from pyspark.sql.types import DataType, IntegerType, LongType, StringType, StructField, StructType
+
+_TYPES: dict[str, DataType] = {"bigint": LongType(), "int": IntegerType(), "string": StringType()}
+
+
+def _struct(columns: str) -> StructType:
+    """A schema from ``name type`` pairs, made without a session."""
+    return StructType([StructField(n, _TYPES[t]) for n, t in (c.split() for c in columns.split(", "))])
+
+
+#: Columns of the canonical tables.
+POST = _struct("id bigint, tweet string, user_id bigint, comment_to bigint, thread_id bigint, round bigint, shared_from bigint, reaction_count bigint")
+ROUNDS = _struct("id bigint, day int, hour int")
+REACTIONS = _struct("id bigint, post_id bigint, user_id bigint, type string")
+INTERESTS = _struct("iid bigint, interest string")
+POST_TOPICS = _struct("id bigint, post_id bigint, topic_id bigint")
+HASHTAGS = _struct("id bigint, hashtag string")
+POST_HASHTAGS = _struct("id bigint, post_id bigint, hashtag_id bigint")
+USERS = _struct("id bigint, ex string, oe string, co string, ag string, ne string, gender string, leaning string, age int, education_level string")
 
 REQUIRED_TABLES = ("post", "rounds", "interests", "post_topics", "mentions", "reactions", "hashtags", "post_hashtags", "user_mgmt")
 
