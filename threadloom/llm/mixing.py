@@ -160,7 +160,7 @@ def taken_texts(mixed: DataFrame, text_col: str, mix: Mix = Mix()) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -170,3 +170,38 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
+
+
+SQL = r"""
+WITH p AS (SELECT 17 AS seed, 1024 AS per_shard, 16 AS least_block, 4096 AS most_block, 64 AS for_least),
+d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s0),
+s2 AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS cap_before, coalesce(sum(weight) OVER w, 0) AS weight_before, sum(weight) OVER () AS weight_sum FROM s1
+  WINDOW w AS (ORDER BY cap / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, cap * (weight_sum - weight_before) <= weight * (total - cap_before) AS capped FROM s2),
+s4 AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE weight * (total - coalesce(sum(cap) FILTER (WHERE capped) OVER (), 0)) / CAST(nullif(sum(weight) FILTER (WHERE NOT capped) OVER (), 0) AS DOUBLE) END AS target FROM s3),
+s5 AS (SELECT *, CAST(coalesce(least(greatest(floor(min(CASE WHEN target > 0 THEN target END) OVER () / for_least), least_block), most_block), least_block) AS BIGINT) AS block FROM s4, p),
+s6 AS (SELECT *, CAST(greatest(floor(source_size / CAST(block AS DOUBLE) + 0.5), 1) AS BIGINT) AS n_blocks FROM s5),
+s7 AS (SELECT *, CAST(ceil(n_blocks / CAST(per_shard AS DOUBLE)) AS BIGINT) AS n_shards, CASE WHEN source_size > 0 THEN target * n_blocks / source_size ELSE CAST(0 AS DOUBLE) END AS votes FROM s6),
+a1 AS (SELECT *, count(*) OVER () AS n, sum(votes) OVER () AS w, floor(sum(votes) OVER () + 0.5) AS seats FROM s7),
+a2 AS (SELECT *, CASE WHEN w > 0 THEN CAST(floor(votes * greatest(seats - n / CAST(2 AS DOUBLE), 0) / w + 0.5) AS BIGINT) ELSE 0 END AS lo, CASE WHEN w > 0 THEN CAST(floor(votes * (seats + n / CAST(2 AS DOUBLE)) / w + 0.5) AS BIGINT) ELSE 0 END AS hi FROM a1),
+a3 AS (SELECT source, votes, seats - (SELECT sum(lo) FROM a2) AS left_, unnest(range(lo, greatest(hi, lo) + 1)) AS k FROM a2),
+a4 AS (SELECT source, count(*) AS won FROM (SELECT *, row_number() OVER (ORDER BY votes / (2 * k + 1) DESC, source NULLS FIRST) AS r FROM a3) WHERE r <= left_ GROUP BY source),
+sources AS (SELECT a2.source, source_size, target, block, n_shards, lo + coalesce(won, 0) AS quota FROM a2 LEFT JOIN a4 ON a2.source IS NOT DISTINCT FROM a4.source),
+r AS (SELECT d.*, sources.* EXCLUDE (source), md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM d JOIN sources ON d.source IS NOT DISTINCT FROM sources.source),
+r1 AS (SELECT *, CAST('0x' || substr(o, 1, 8) AS BIGINT) % n_shards AS shard FROM r),
+h0 AS (SELECT source, shard, block, quota, CAST(sum(size) AS BIGINT) AS words FROM r1 GROUP BY ALL),
+h1 AS (SELECT *, CAST(greatest(floor(words / CAST(block AS DOUBLE) + 0.5), 1) AS BIGINT) AS blocks FROM h0),
+h2 AS (SELECT *, CAST(sum(blocks) OVER (PARTITION BY source) AS BIGINT) AS total, count(*) OVER (PARTITION BY source) AS n FROM h1),
+h3 AS (SELECT *, quota // total AS rounds, quota % total AS rest FROM h2),
+h4 AS (SELECT *, CAST(floor(blocks * greatest(rest - n / CAST(2 AS DOUBLE), 0) / total + 0.5) AS BIGINT) AS lo, CAST(floor(blocks * (rest + n / CAST(2 AS DOUBLE)) / total + 0.5) AS BIGINT) AS hi FROM h3),
+h5 AS (SELECT source, shard, blocks, rest - sum(lo) OVER (PARTITION BY source) AS left_, lo, hi FROM h4),
+h6 AS (SELECT source, shard, blocks, left_, unnest(range(lo, greatest(hi, lo) + 1)) AS k FROM h5),
+h7 AS (SELECT source, shard, count(*) AS won FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY blocks / CAST(2 * k + 1 AS DOUBLE) DESC, shard) AS r FROM h6) WHERE r <= left_ GROUP BY source, shard),
+shards AS (SELECT h4.source, h4.shard, words, blocks, rounds, least(lo + coalesce(won, 0), blocks) AS extra, CAST('0x' || substr(md5('17:' || coalesce(h4.source, '') || ':' || h4.shard), 1, 8) AS BIGINT) % blocks AS first FROM h4 LEFT JOIN h7 ON h4.source IS NOT DISTINCT FROM h7.source AND h4.shard = h7.shard),
+x AS (SELECT r1.doc_id, r1.size, source_size, target, words, blocks, rounds, extra, first, row_number() OVER () AS row_id, CAST(sum(size) OVER (PARTITION BY r1.source, r1.shard ORDER BY o, r1.doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM r1 JOIN shards ON r1.source IS NOT DISTINCT FROM shards.source AND r1.shard = shards.shard),
+b AS (SELECT *, unnest(range(((stop - size + 1) * blocks - 1) // words, (stop * blocks - 1) // words + 1)) AS j FROM x WHERE size > 0),
+t AS (SELECT row_id, sum((least((j + 1) * words // blocks, stop) - greatest(j * words // blocks, stop - size)) * (rounds + CASE WHEN (j * 2147483647 + first) % blocks < extra THEN 1 ELSE 0 END)) AS taken FROM b GROUP BY row_id)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM x LEFT JOIN t USING (row_id)
+"""

@@ -19,4 +19,4 @@ QUERIES = {
     "op10_sharding": sharding.query,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_chat_format": chat.SQL, "op2_quality_rules": quality.SQL, "op9_near_dedup": dedup.SQL}
+SQL = {"op1_chat_format": chat.SQL, "op2_quality_rules": quality.SQL, "op4_mixing": mixing.SQL, "op9_near_dedup": dedup.SQL}
