@@ -101,10 +101,7 @@ def principal(df: DataFrame, columns: Sequence[str], share: float | None = None,
         k = min(k, len(columns))
     loads = model.pc.toArray()
     signs = [1.0 if loads[abs(loads[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
-    scores = vector_to_array(model.transform(data)["_p"])
-    made = model.transform(data).select(key, F.array(*(F.get(vector_to_array("_p"), F.lit(j)) * signs[j] for j in range(k))).alias(out))
-    del scores
-    return made
+    return model.transform(data).select(key, F.array(*(F.get(vector_to_array("_p"), F.lit(j)) * signs[j] for j in range(k))).alias(out))
 
 
 def mixture(df: DataFrame, k: int = 4, seed: int = 42, x: str = "x", key: str = "id") -> DataFrame:

@@ -13,4 +13,5 @@ def running_attitudes(stream: DataFrame) -> DataFrame:
 
 def window_volume(stream: DataFrame, time: str = "ts", width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Posts in each window of event time; state of windows older than the watermark is dropped."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a zoned type
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w")).agg(F.count(F.lit(1)).alias("volume")).select(F.col("w.start").alias("start"), "volume")
