@@ -6,10 +6,12 @@ but for the last, which returns the packed pieces.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import dedup, langid, mixing, packing, quality
-from threadloom.llm.common import durable
+from threadloom.llm.common import settled
 
 STAGES = [
     ("quality rules", quality.stage),
@@ -27,5 +29,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

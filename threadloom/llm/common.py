@@ -34,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -68,6 +70,16 @@ def durable(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make, name: str) -> DataFrame:
+    """The durable result of ``make()``; the tables that it was made from are deleted."""
+    before = len(_own_folders)
+    out = durable(make(), name)
+    for spark, path in _own_folders[before:-1]:
+        _delete(spark, path)
+    del _own_folders[before:-1]
+    return out
+
+
 def sized_join(left: DataFrame, right: DataFrame, on, how: str = "left", row_bytes: int = 64, limit: int | None = None) -> DataFrame:
     """Join a stored small side: broadcast if its counted rows fit ``limit`` bytes, else by shuffle.
 
