@@ -319,7 +319,7 @@ def histogram(spark, d):
     return stats.histogram(table(spark, d, "events"), "value", 20)
 
 
-@query("s7_json_map", "SELECT '{' || string_agg('"' || n_nationkey || '":' || n_regionkey, ',' ORDER BY CAST(n_nationkey AS VARCHAR)) || '}' AS json FROM nation")
+@query("s7_json_map", "SELECT '{' || string_agg(chr(34) || n_nationkey || chr(34) || ':' || n_regionkey, ',' ORDER BY CAST(n_nationkey AS VARCHAR)) || '}' AS json FROM nation")
 def json_map(spark, d):
     from ..sources.files import as_json_map
 
