@@ -43,6 +43,28 @@ def test_against_brute_force(spark):
     assert got == brute(data)
 
 
+def shared_passage(n_alone, clusters, size):
+    """Texts that share a passage (similarity about 0.4): some alone, others edited copies of one another."""
+    r = random.Random(11)
+    words = lambda n: [f"v{r.randrange(100_000)}" for _ in range(n)]
+    passage = words(90)
+    texts = [passage + words(70) for _ in range(n_alone)]
+    for own in (words(70) for _ in range(clusters)):
+        for _ in range(size):
+            w = passage + own
+            for _ in range(r.randrange(12)):
+                w[r.randrange(len(w))] = words(1)[0]
+            texts.append(w)
+    r.shuffle(texts)
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+def test_members_far_from_their_hub(spark):
+    data = shared_passage(90, 5, 26)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dedup.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert got == brute(data)
+
+
 def test_odd_rows(spark):
     rows = dedup.near_duplicates(spark.createDataFrame([(None, "a b c", 1), (None, "a b c", 1), (5, "a b c", 1), (5, "a b c", 1), (7, "A b c", 1)], "doc_id bigint, text string, n_shingles int")).collect()
     assert len(rows) == 5 and {(r["doc_id"], r["component_id"], r["kept"]) for r in rows} == {(None, None, True), (5, 5, True), (7, 5, False)}

@@ -183,12 +183,13 @@ def _missed(diffs: DataFrame) -> DataFrame:
     """
     apart = diffs.where("part <> hub_part")
     x = apart.select("hub", F.col("doc").alias("x"), F.col("part").alias("part_x"), F.col("n").alias("nx"), F.explode("diff").alias("e"))
-    held = x.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("held"))
+    held = x.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("held"), F.min("part_x").alias("low"), F.max("part_x").alias("high"))
     t = F.expr("(9 * size(diff) + n_hub - n) div 18 + 1")
     y = diffs.join(apart.select("hub").distinct(), "hub", "left_semi").withColumn("k", F.size("diff") - t + 1)
     y = y.select("hub", F.col("doc").alias("y"), F.col("part").alias("part_y"), F.col("n").alias("ny"), "k", F.explode("diff").alias("e"))
     y = y.join(held, ["hub", "e"], "left").withColumn("r", F.row_number().over(Window.partitionBy("hub", "y").orderBy(F.col("held").asc_nulls_first(), "e")))
-    y = y.where("r <= k and held is not null").select("hub", "y", "part_y", "ny", "e")
+    # What only y's own component has makes no pair.
+    y = y.where("r <= k and held is not null and (low <> part_y or high <> part_y)").select("hub", "y", "part_y", "ny", "e")
     like = 100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")
     tried = x.join(y, ["hub", "e"]).where(like & (F.col("part_x") != F.col("part_y"))).select("hub", "x", "y").distinct()
     tried = tried.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("hub").alias("hub"))
@@ -198,14 +199,27 @@ def _missed(diffs: DataFrame) -> DataFrame:
     return both.where(_linked(sym.cast("long"), F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _among(members: DataFrame, apart: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of members that are plainly unlike their hub, with each other or with others below 0.65."""
-    left = members.join(apart, ["hub", "doc"]).select("key", "doc", "unlike")
-    left = left.join(left.where("unlike").select("key").distinct(), "key", "left_semi")
-    left = durable(left.join(reps.select("doc", "odd", "n"), "doc"), "apart")
-    other = left.select("key", F.col("doc").alias("b"), F.col("odd").alias("odd_b"), F.col("n").alias("n_b"), F.col("unlike").alias("unlike_b"))
-    near = (F.col("doc") < F.col("b")) & (F.col("unlike") | F.col("unlike_b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")) & (_bits("odd", "odd_b") <= MOST_BITS)
-    pairs = left.join(other, "key").where(near).select(F.col("doc").alias("a"), "b").distinct()
+def _among(far: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of members that are plainly unlike a hub, with each other or with others below 0.65.
+
+    ``far``: ``doc, part, unlike``, one row for each document. Linked sets share at least PERCENT of the
+    larger one, hence one of the rarest elements that remain when as many less one are left out.
+    Elements that one component alone has there are dropped before pairs are made: what members far from
+    a hub have in common is what they all have, and rare elements are mostly their own.
+    """
+    has = far.join(sets, "doc").select("doc", "part", "unlike", F.size("set").cast("long").alias("n"), F.explode("set").alias("e"))
+    has = durable(has, "elements")
+    held = has.groupBy("e").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    rarest = Window.partitionBy("doc").orderBy(F.col("held").asc_nulls_first(), "e")
+    prefix = has.join(held, "e", "left").withColumn("r", F.row_number().over(rarest))
+    prefix = durable(prefix.where(f"held is not null and r <= n - ({PERCENT} * n + 99) div 100 + 1").select("doc", "part", "unlike", "n", "e"), "prefixes")
+    split = prefix.groupBy("e").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("unlike").alias("any")).where("low <> high and any").select("e")
+    left = prefix.join(split, "e")
+    other = left.select("e", F.col("doc").alias("b"), F.col("part").alias("part_b"), F.col("unlike").alias("unlike_b"), F.col("n").alias("n_b"))
+    near = (F.col("doc") < F.col("b")) & (F.col("part") != F.col("part_b")) & (F.col("unlike") | F.col("unlike_b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
+    pairs = left.join(other, "e").where(near).select(F.col("doc").alias("a"), "b").distinct()
+    side = lambda c, odd: reps.select(F.col("doc").alias(c), F.col("odd").alias(odd))
+    pairs = pairs.join(side("a", "odd_a"), "a").join(side("b", "odd_b"), "b").where(_bits("odd_a", "odd_b") <= MOST_BITS).select("a", "b")
     full = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return full.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
@@ -271,9 +285,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = durable(components(diffs.where("linked").select(F.col("hub").alias("a"), F.col("doc").alias("b"))), "stars")
     part = lambda c, new: stars.select(F.col("doc").alias(c), F.col("component").alias(new))
     diffs = diffs.join(part("doc", "part"), "doc", "left").join(part("hub", "hub_part"), "hub", "left").withColumn("part", F.coalesce("part", "doc")).withColumn("hub_part", F.coalesce("hub_part", "hub"))
-    # A member unlike its hub may link to one below 0.65 (0.45 and 0.2): such pairs are tried by sketch.
-    apart = star.where("unlike").select("hub", "doc", "unlike").unionByName(diffs.where("similarity < 0.65").select("hub", "doc", F.lit(False).alias("unlike")))
-    links = stars.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionByName(_missed(diffs)).unionByName(_among(members, apart, reps, sets))
+    # A member unlike its hub may link to one below 0.65 (0.45 and 0.2): such pairs are tried by their rarest elements.
+    far = star.where("unlike").select("doc", "unlike").unionByName(diffs.where("similarity < 0.65").select("doc", F.lit(False).alias("unlike")))
+    far = far.groupBy("doc").agg(F.max("unlike").alias("unlike")).join(part("doc", "part"), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
+    links = stars.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionByName(_missed(diffs)).unionByName(_among(durable(far, "far"), reps, sets))
     parts = components(links)
     of_class = classes.join(parts.withColumnRenamed("doc", "rep"), "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("component"))
     out = feats.select("doc", "n", "high", "low").join(of_class, ["high", "low"], "left")
