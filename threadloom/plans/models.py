@@ -28,8 +28,7 @@ def embeddings(spark, d):
 
 @query("x5_x7_coherence_pipeline")
 def coherence_pipeline(spark, d):
-    rows = threads(spark, d).where(F.length("tweet") < 600)
-    return coherence.run(rows, models.hashed_embedder(64), models.token_overlap_matcher, models.overlap_pair_scorer)[1]
+    return coherence.run(threads(spark, d), models.hashed_embedder(64), models.token_overlap_matcher, models.overlap_pair_scorer)[1]
 
 
 @query("x8_x10_stance_pipeline")
