@@ -44,17 +44,17 @@ def prepared(spark, d):
 
 @query("l3_l4_lda_words")
 def lda_words(spark, d):
-    return topics.fit_lda(prepared(spark, d), 8, 2).top_words()
+    return topics.fit_lda(prepared(spark, d)).top_words()
 
 
 @query("l5_lda_topics")
 def lda_topics(spark, d):
-    return topics.fit_lda(prepared(spark, d), 8, 2).assign().select("id", "lda_topic")
+    return topics.fit_lda(prepared(spark, d)).assign().select("id", "lda_topic")
 
 
 @query("l6_perplexity")
 def perplexity(spark, d):
-    return spark.createDataFrame([(topics.fit_lda(prepared(spark, d), 8, 2).log_perplexity(),)], "log_perplexity double")
+    return spark.createDataFrame([(topics.fit_lda(prepared(spark, d)).log_perplexity(),)], "log_perplexity double")
 
 
 @query("l7_coherence")
