@@ -31,3 +31,16 @@ def test_template_classes(spark):
     made = {r["host"]: r for r in extraction.templates(rows).collect()}["h.example"]
     by_path = {e["path"]: e for e in made["elements"]}
     assert by_path[">html>body>article"]["class_id"] == by_path[">html>body>nav"]["class_id"] and by_path[">html>body>article>p"]["total"] == 8
+
+
+def test_copies_without_landmarks(spark):
+    page = "<html><body><div>Same words on each page</div><div><p>{}</p></div></body>"
+    texts = ["Copied story", "Copied story", "Own story 1", "Own story 2"]
+    got = run(spark, [(k, f"http://copies.example/{k}", page.format(t), None) for k, t in enumerate(texts)])
+    assert got == dict(enumerate(texts))
+
+
+def test_fixed_runs_of_small_hosts(spark):
+    page = "<html><body><div>Same words on each page</div><div><p>Own story {}</p></div></body>"
+    got = run(spark, [(k, f"http://h{k // 2}.example/{k}", page.format(k), None) for k in range(6)])
+    assert got == {k: f"Own story {k}" for k in range(6)}

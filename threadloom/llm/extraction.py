@@ -144,11 +144,14 @@ def host_of(url: str | None) -> str:
 
 
 ALL = "*"
-COUNT_SCHEMA = "host string, kind string, path string, token bigint, pages bigint, total bigint, vector bigint, chars bigint, linked bigint"
+COUNT_SCHEMA = "host string, kind string, path string, token bigint, content bigint, pages bigint, total bigint, vector bigint, chars bigint, linked bigint"
 
 
 def _counts(batches):
-    """Occurrences of tokens by host, summed in the task: pages, total, XOR of the vector, characters."""
+    """Occurrences of tokens by host, summed in the task: pages, total, XOR of the vector, characters.
+
+    Pages and text runs are told apart by content too, the hash of a page's text runs but for dropped ones.
+    """
     import pyarrow as pa
     from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
@@ -157,15 +160,16 @@ def _counts(batches):
     names = [x.split()[0] for x in COUNT_SCHEMA.split(", ")]
 
     def send():
-        rows = [(h, k, p, signed(t), n, c, signed(v), chars, linked) for (h, k, p, t), (n, c, v, chars, linked) in sums.items()]
+        rows = [(h, k, p, signed(t), signed(d), n, c, signed(v), chars, linked) for (h, k, p, t, d), (n, c, v, chars, linked) in sums.items()]
         sums.clear()
-        types = [pa.string()] * 3 + [pa.int64()] * 6
+        types = [pa.string()] * 3 + [pa.int64()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     for batch in batches:
         for page_id, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             runs, tags = scan(page.as_py() or "")
             seen: dict[tuple, list] = {("page", "", 0): [1, 0, 0]}
+            said: list[int] = []
             for t in tags:
                 seen.setdefault(("tag", t, 0), [0, 0, 0])[0] += 1
             for r in runs:
@@ -175,14 +179,17 @@ def _counts(batches):
                 place[0] += 1
                 place[1] += len(r.text)
                 place[2] += len(r.text) * r.link
-                if verdict(r.path) == "open":
-                    seen.setdefault(("text", r.path, xxh3_64_intdigest(" ".join(r.text.split()).encode())), [0, 0, 0])[0] += 1
+                landmark = verdict(r.path)
+                if landmark != "drop":
+                    token = xxh3_64_intdigest(" ".join(r.text.split()).encode())
+                    said.append(token)
+                    if landmark == "open":
+                        seen.setdefault(("text", r.path, token), [0, 0, 0])[0] += 1
+            content = xxh3_64_intdigest(b"".join(t.to_bytes(8, "big") for t in said))
             for (kind, path, token), (count, chars, linked) in seen.items():
                 vector = xxh64_intdigest(f"{page_id}:{count}".encode())
                 for host in (host_of(url), ALL):
-                    if host == ALL and kind == "text":
-                        continue
-                    s = sums.setdefault((host, kind, path, token), [0, 0, 0, 0, 0])
+                    s = sums.setdefault((host, kind, path, token, content if kind in ("page", "text") else 0), [0, 0, 0, 0, 0])
                     s[0] += 1
                     s[1] += count
                     s[2] ^= vector
@@ -195,17 +202,20 @@ def _counts(batches):
 
 
 def templates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each host (and ``*`` for all): ``host, n_pages, elements, fixed, places``.
+    """One row for each host (and ``*`` for all): ``host, n_pages, n_contents, elements, fixed, places``.
 
     ``elements``: paths of valid classes with ``class_id``, ``support``, ``total`` and the
     path of the element of another class that holds it. ``fixed``: text runs that belong
-    to the template. ``places``: text paths with their characters and link characters.
+    to the template: their share is of the host's distinct contents, so that copies count once,
+    and it is known only if there are enough of these. ``places``: text paths with their characters and link characters.
     """
     counts = pages.select("page_id", "url", "html").mapInArrow(_counts, COUNT_SCHEMA)
-    sums = counts.groupBy("host", "kind", "path", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    added = [F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")]
+    sums = counts.groupBy("host", "kind", "path", "token", "content").agg(*added).groupBy("host", "kind", "path", "token").agg(*added, F.count(F.lit(1)).alias("contents"))
     sums = durable(sums, "tokens")
-    n = sums.where("kind = 'page'").select("host", F.col("pages").alias("n_pages"))
-    known = sums.join(n, "host").where((F.col("pages") >= F.col("n_pages") * settings.support) & (F.col("n_pages") >= settings.least_pages))
+    n = sums.where("kind = 'page'").select("host", F.col("pages").alias("n_pages"), F.col("contents").alias("n_contents"))
+    enough = lambda x, n: (F.col(x) >= F.col(n) * settings.support) & (F.col(n) >= settings.least_pages)
+    known = sums.join(n, "host").where(F.when(F.col("kind") == "text", enough("contents", "n_contents")).otherwise(enough("pages", "n_pages")))
     # Open and close tags with one vector stand for one element; a path with only one of them in the class isn't valid.
     element = F.regexp_replace("path", "^/", "")
     tags = known.where("kind = 'tag'").groupBy("host", element.alias("path"), "vector", F.col("pages").alias("support"), "total").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2")
@@ -272,7 +282,7 @@ def _extracted(settings: Settings, common: tuple):
 
         held: dict[str, Template] = {ALL: Template(*common, settings)}
         for batch in batches:
-            page, url, body, n, elements, fixed, places = (batch.column(k) for k in range(7))
+            page, url, body, n, contents, elements, fixed, places = (batch.column(k) for k in range(8))
             texts = []
             for k in range(batch.num_rows):
                 host = host_of(url[k].as_py())
@@ -281,7 +291,8 @@ def _extracted(settings: Settings, common: tuple):
                 elif host not in held:
                     if len(held) > 5000:
                         held = {ALL: held[ALL]}
-                    held[host] = Template(elements[k].as_py() or [], fixed[k].as_py() or [], places[k].as_py() or [], settings)
+                    own = fixed[k].as_py() or [] if contents[k].as_py() >= settings.least_pages else common[1]
+                    held[host] = Template(elements[k].as_py() or [], own, places[k].as_py() or [], settings)
                 texts.append(main_text(body[k].as_py(), held[host], token))
             yield pa.RecordBatch.from_arrays([page, url, pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -292,7 +303,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``page_id, url, text`` for each page.
 
     Defined cases: null or empty HTML gives empty text; null URLs and URLs without
-    ``://`` are one host; hosts with few pages use the template of all pages; a page
+    ``://`` are one host; hosts with few pages use the template of all pages, those with
+    few distinct contents its fixed runs; a page
     without an article or main element keeps what its host's template doesn't fix or
     mark; repeated rows are pages of their own; other columns are ignored.
     """
@@ -303,7 +315,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
     per_host = made.where(F.col("host") != ALL).withColumnRenamed("host", "_host")
     joined = sized_join(rows.withColumn("_host", host), per_host, "_host", "left", 4096)
-    columns = joined.select("page_id", "url", "html", "n_pages", "elements", "fixed", "places")
+    columns = joined.select("page_id", "url", "html", "n_pages", "n_contents", "elements", "fixed", "places")
     kind = dict(rows.dtypes)["page_id"]
     return columns.mapInArrow(_extracted(settings, common), f"page_id {kind}, url string, text string")
 
