@@ -10,13 +10,14 @@ import uuid
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 
-#: A join side is broadcast only if its counted rows times its bytes a row stay below this.
+#: A join side is broadcast only if its measured bytes stay below this.
 BROADCAST_BYTES = 8 << 20
 
 _own_folders: list = []
@@ -80,14 +81,36 @@ def settled(make, name: str) -> DataFrame:
     return out
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str = "left", row_bytes: int = 64, limit: int | None = None) -> DataFrame:
-    """Join a stored small side: broadcast if its counted rows fit ``limit`` bytes, else by shuffle.
+def _value_bytes(name: str, kind: T.DataType) -> Column:
+    """Bytes that a column's values take, more or less; nested arrays and structs are measured as JSON would be."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c)
+    elif isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+        size = 8 * F.array_size(c)
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        size = F.octet_length(F.to_json(c))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(0)) + 16
 
-    ``right`` must be cheap to count (a ``durable`` table). Beyond the limit, the
+
+def measured_bytes(df: DataFrame) -> int:
+    """The bytes of a stored table's values, summed over all rows."""
+    size = F.lit(16).cast("long")
+    for f in df.schema:
+        size = size + _value_bytes(f.name, f.dataType)
+    return df.agg(F.sum(size).alias("b")).first()["b"] or 0
+
+
+def measured_join(left: DataFrame, right: DataFrame, on, how: str = "left", limit: int | None = None) -> DataFrame:
+    """Join a stored side: broadcast if its measured bytes are below ``limit``, else by shuffle.
+
+    ``right`` must be cheap to read twice (a ``durable`` table). Beyond the limit, the
     plan is a sort-merge join, whose skewed keys adaptive execution splits.
     """
     limit = BROADCAST_BYTES if limit is None else limit
-    if right.count() * row_bytes <= limit:
+    if measured_bytes(right) <= limit:
         return left.join(F.broadcast(right), on, how)
     return left.join(right.hint("merge"), on, how)
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, ship, sized_join
+from .common import durable, measured_join, ship
 
 ship(__name__)
 
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = reps.select("doc", F.explode("bands").alias("key"))
     members = _with_hubs(keys)
     wanted = durable(members.select("doc").distinct(), "wanted")
-    sets = durable(sized_join(rows, wanted, "doc", "left_semi", 16).mapInArrow(_sets, "doc bigint, set array<bigint>"), "sets")
+    sets = durable(measured_join(rows, wanted, "doc", "left_semi").mapInArrow(_sets, "doc bigint, set array<bigint>"), "sets")
     star = durable(_star(members, reps), "star")
     diffs = durable(_differences(star.where("not unlike").select("hub", "doc"), sets), "differences")
     # First the stars' components: only pairs of different ones need trying.
@@ -303,7 +303,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group stays."""
     gone = durable(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return sized_join(docs, gone, "doc_id", "left_anti", 16).select(*docs.columns)
+    return measured_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 SQL = r"""

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, n_words, sized_join
+from .common import durable, measured_join, n_words
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def _seeded(id_col: str, mix: Mix) -> Column:
 
 def _place(rows: DataFrame, sources: DataFrame, id_col: str, mix: Mix) -> DataFrame:
     """Rows with their source's plan and their shard."""
-    rows = sized_join(rows, sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "inner", 160).drop("_source")
+    rows = measured_join(rows, sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "inner").drop("_source")
     rows = rows.withColumn("_order", _seeded(id_col, mix))
     return rows.withColumn("_shard", F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
 
@@ -129,7 +129,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     quotas = durable(quotas.select("source", "shard", "words", "blocks", "rounds", F.least("extra", "blocks").alias("extra"), first.alias("first")), "quotas")
     placed = _place(rows, sources, "doc_id", mix)
     q = quotas.select(*(F.col(c).alias(f"_q_{c}") for c in quotas.columns))
-    placed = sized_join(placed, q, F.col("source").eqNullSafe(F.col("_q_source")) & (F.col("_shard") == F.col("_q_shard")), "inner", 80)
+    placed = measured_join(placed, q, F.col("source").eqNullSafe(F.col("_q_source")) & (F.col("_shard") == F.col("_q_shard")), "inner")
     order = Window.partitionBy("source", "_shard").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_stop", F.sum("size").over(order)).withColumn("_start", F.expr("_stop - size"))
     w, m = "_q_words", "_q_blocks"

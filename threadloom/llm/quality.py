@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, durable, let, sized_join, words
+from .common import SPACE_CHARS, durable, let, measured_join, words
 
 #: Symbols counted by n_symbols.
 SYMBOLS = "#*$%&|<>"
@@ -119,7 +119,7 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", rul
     judged = with_stats(docs.drop(*(c for c in made if c in docs.columns)), text_col, rules)
     judged = durable(judged if keep_text else judged.drop(text_col), "quality")
     verdicts = host_verdicts(judged, host_col, rules).where("host_failed").select(F.col("host").alias("_host"), "shrunk_rate", F.lit(True).alias("_bad"))
-    out = sized_join(judged, verdicts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    out = measured_join(judged, verdicts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_host", "_bad")
 
 

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_path, sized_join
+from .common import measured_join, own_path
 
 
 @dataclass(frozen=True)
@@ -219,4 +219,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = shard_documents(docs, ShardStore(spark, own_path(spark, "shards")), Tiers(target_bytes=64 << 20))
     rows = store.read().select("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source", "n_chars", "shard")
-    return sized_join(rows, store.shards(), "shard", "left", 200)
+    return measured_join(rows, store.shards(), "shard", "left")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sized_join
+from .common import durable, measured_join
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     seen = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
     judged = with_rule(seen.drop("html"), rules)
     scores = host_scores(judged, host_links(seen), ranking)
-    out = sized_join(judged, scores.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left", 96)
+    out = measured_join(judged, scores.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
     verdict = F.coalesce("rule_verdict", "host_verdict", F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
