@@ -32,5 +32,21 @@ def test_hosts(spark):
     assert quality.judge(spark.createDataFrame(data, SCHEMA)).count() == len(data)
 
 
+def test_skewed_hosts_against_brute_force(spark):
+    """Small hosts shrink towards all others, large ones hardly: the verdict is the posterior mean's."""
+    good, bad = " ".join(f"w{i}" for i in range(20)), "short"
+    sizes = {"hot": (400, 120), "worst": (60, 48), "mixed": (50, 20), "one": (1, 1), "two": (2, 2), "many": (30, 28), **{f"s{k}": (20 + k, 6 + k % 3) for k in range(8)}}
+    data = [(i, bad if i < k else good, h, 0) for h, (n, k) in sizes.items() for i in range(n)]
+    n = sum(x for x, _ in sizes.values())
+    mean = sum(k for _, k in sizes.values()) / n
+    within = mean * (1 - mean)
+    between = sum(k * k / x for x, k in sizes.values()) / n - mean * mean - within * len(sizes) / n
+    strength = min(max(within / between - 1, 1.0), 10_000.0)
+    failed = {h for h, (x, k) in sizes.items() if (k + mean * strength) / (x + strength) > 0.5}
+    assert "worst" in failed and "one" not in failed and len(failed) < 5
+    for r in quality.judge(spark.createDataFrame(data, SCHEMA)).collect():
+        assert r["kept"] == (not r["base_failed"] and r["source"] not in failed)
+
+
 def test_empty(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0

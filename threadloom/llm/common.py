@@ -115,6 +115,16 @@ def measured_join(left: DataFrame, right: DataFrame, on, how: str = "left", limi
     return left.join(right.hint("merge"), on, how)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of a table's files, or the optimizer's estimate: nothing is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def packed(docs: DataFrame, keep: tuple[str, ...] | None = None, **columns: Column) -> DataFrame:
+    """Each row (or its columns ``keep``) as a struct ``row``, beside the columns given: no name of a table clashes with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep))).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, durable, let, measured_join, words
+from .common import SPACE_CHARS, durable, let, measured_join, packed, words
 
 #: Symbols counted by n_symbols.
 SYMBOLS = "#*$%&|<>"
@@ -59,32 +59,30 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(let(pairs, starts), zero, add, lambda z: z["n"])
 
 
-def with_stats(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """Add the base statistics and ``base_failed`` to each row.
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def with_stats(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """``row, text, host`` rows with the base statistics and ``base_failed``.
 
     Defined cases: null, empty or blank text has no words, so all counts are 0 and
     the rule on words fails it. Windows are compared by a 64-bit hash.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    out = (
-        docs.withColumn("_hashes", F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)))
-        .withColumn("_windows", _windows(F.col("_hashes")))
-        .withColumn("_lines", lines)
-    )
-    n = F.size("_hashes").cast("long")
-    out = (
-        out.withColumn("n_words", n)
-        .withColumn("word_chars", F.length(F.translate(text, SPACE_CHARS, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0).cast("long")).otherwise(_covered(F.col("_windows"))))
-    )
+    out = rows.withColumn("hashes", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).withColumn("windows", _windows(F.col("hashes"))).withColumn("lines", lines)
+    stats = {
+        "n_words": F.size("hashes").cast("long"),
+        "word_chars": F.length(F.translate(text, SPACE_CHARS, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "n_repeat_words": F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("long")).otherwise(_covered(F.col("windows"))),
+    }
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    return out.drop("_hashes", "_windows", "_lines").withColumn("base_failed", failed)
+    return out.withColumns(stats).drop("text", "hashes", "windows", "lines").withColumn("base_failed", failed)
 
 
-def host_verdicts(judged: DataFrame, host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
+def host_verdicts(judged: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Hosts with ``n_docs, n_failed, shrunk_rate, host_failed``; a null host is a host of its own.
 
     The prior is a beta distribution fitted by moments: its mean is the overall
@@ -92,7 +90,7 @@ def host_verdicts(judged: DataFrame, host_col: str = "source", rules: Rules = Ru
     sampling alone would give. The fit is one row, so joining it is a broadcast of
     one row.
     """
-    hosts = judged.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     hosts = durable(hosts, "hosts")
     total = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("k"), F.count(F.lit(1)).alias("h"), F.sum(F.pow(F.col("n_failed"), 2) / F.col("n_docs")).alias("q"))
     mean = F.col("k") / F.col("n")
@@ -106,31 +104,41 @@ def host_verdicts(judged: DataFrame, host_col: str = "source", rules: Rules = Ru
     return hosts.withColumn("shrunk_rate", rate).withColumn("host_failed", rate > rules.max_host_rate)
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: Rules = Rules(), keep_text: bool = True) -> DataFrame:
+def _judged(docs: DataFrame, text: Column, host: Column, rules: Rules, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``row, host``, the base statistics, ``base_failed, shrunk_rate, kept`` of each row."""
+    judged = durable(with_stats(packed(docs, keep, text=text, host=host), rules), "quality")
+    verdicts = host_verdicts(judged, rules).where("host_failed").select(F.col("host").alias("bad"), "shrunk_rate", F.lit(True).alias("is_bad"))
+    out = measured_join(judged, verdicts, F.col("host").eqNullSafe(F.col("bad")), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("is_bad").isNull()).drop("bad", "is_bad")
+
+
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: Rules = Rules(), keep: tuple[str, ...] | None = None) -> DataFrame:
     """All rows with base statistics, ``base_failed``, ``shrunk_rate`` and ``kept``.
 
-    ``kept`` is false if the base rules or the host's verdict fail the document.
-    Defined cases: repeated rows count each; null hosts share one verdict; columns
-    of the input with the names of the statistics are replaced; empty input gives
-    an empty result. With ``keep_text=False`` the text is dropped before the
-    statistics are stored.
+    ``kept`` is false if the base rules or the host's verdict fail the document; the rate
+    is that of rejected hosts, else null. Defined cases: repeated rows count each; null
+    hosts share one verdict; columns of the input with the names of the statistics are
+    replaced; empty input gives an empty result. Only the columns in ``keep`` (default:
+    all) are stored and returned.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "shrunk_rate", "kept", "host_failed", "_host"]
-    judged = with_stats(docs.drop(*(c for c in made if c in docs.columns)), text_col, rules)
-    judged = durable(judged if keep_text else judged.drop(text_col), "quality")
-    verdicts = host_verdicts(judged, host_col, rules).where("host_failed").select(F.col("host").alias("_host"), "shrunk_rate", F.lit(True).alias("_bad"))
-    out = measured_join(judged, verdicts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_host", "_bad")
+    made = (*STATS, "base_failed", "shrunk_rate", "kept")
+    out = _judged(docs, F.col(text_col), F.col(host_col), rules, keep)
+    return out.select(*(F.col(f"row.`{c}`") for c in (docs.columns if keep is None else keep) if c not in made), *made)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return judge(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return judge(docs, keep=("doc_id",)).select("doc_id", *STATS, "base_failed", "kept")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents that base rules or host verdicts reject go."""
-    return judge(docs).where("kept").select(*docs.columns)
+    """Pipeline: documents that base rules or host verdicts reject go.
+
+    Null, empty and very long texts are judged as by ``judge``; repeated rows are judged
+    alike; an empty table stays empty; columns of any name, the statistics' too, are
+    kept as they are.
+    """
+    return _judged(docs, F.col("text"), F.col("source"), Rules()).where("kept").select("row.*")
 
 
 SQL = r"""
