@@ -1,9 +1,10 @@
 """Operator 3: threshold-scaled document sketches.
 
 A document's sketch keeps every shingle hash below a fixed fraction of the hash
-range. Sketches of any two documents, however unequal, intersect and unite like
-the sets they sample, so containment and Jaccard estimates come from the sketches
-alone and sketches of parts merge by union.
+range, and never fewer than the LEAST smallest: of its sorted distinct hashes, a
+prefix. Sketches of any two documents, however unequal, intersect and unite like
+the sets they sample, so containment estimates come from the sketches alone, and the
+sketch of united texts is a prefix of their sketches' union.
 
 DataFrame functions only.
 """
@@ -13,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, plan_bytes, words
 
 SHINGLE = 5
-#: One hash in SCALE is kept.
-SCALE = 4
+#: One hash in SCALE is kept, but no fewer than LEAST. A long text's fingerprint has one character a word, more or less.
+SCALE, LEAST = 16, 32
+#: Bytes of files that a range of documents has, and the most ranges (bounds are literals of the plan).
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 14
 
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
@@ -36,38 +39,45 @@ def shingles(text: Column, k: int = SHINGLE) -> Column:
     return let(hashes, windows)
 
 
-def sketch(text: Column, scale: int = SCALE, k: int = SHINGLE) -> Column:
-    """Sorted distinct shingle hashes below 1/scale of the (signed) range.
+def _below(scale: int) -> Column:
+    """The end of the lowest 1/scale of the (signed) range."""
+    return F.lit(-(2**63) + 2**64 // scale)
 
-    A text whose hashes are all above keeps its smallest, so only texts without
-    words have an empty sketch.
+
+def sketch(text: Column, scale: int = SCALE, k: int = SHINGLE, least: int = LEAST) -> Column:
+    """Sorted distinct shingle hashes: those below 1/scale of the range, or the ``least`` smallest if these are more.
+
+    Null, empty and blank texts have an empty sketch; texts of up to ``least`` distinct
+    shingles are kept whole.
     """
-    below = F.lit(-(2**63) + 2**64 // scale)
 
     def kept(h: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < below)))
-        return F.when((F.size(low) == 0) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(low)
+        low = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < _below(scale))))
+        return let(low, lambda a: F.when(F.size(a) >= least, a).otherwise(F.slice(F.array_sort(F.array_distinct(h)), 1, least)))
 
     return let(shingles(text, k), kept)
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts' united shingle sets."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
+    """The sketch of two texts' united shingle sets, from their sketches."""
+    cut = lambda u: F.slice(u, F.lit(1), F.greatest(F.size(F.filter(u, lambda x: x < _below(scale))), F.lit(least)))
+    return let(F.array_sort(F.array_union(a, b)), cut)
 
 
-def containment(a: Column, b: Column) -> Column:
+def containment(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
     """Estimated share of the smaller document's shingles that the other has, 0 to 1.
 
-    Two empty sketches are alike (1), an empty and another are not (0).
+    Only hashes are compared up to which both sketches are complete. Two empty sketches
+    are alike (1), an empty and another are not (0); nor are those without a hash to compare.
     """
-    least = F.least(F.size(a), F.size(b))
-    return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-        .when(least == 0, F.lit(0.0))
-        .otherwise(F.size(F.array_intersect(a, b)) / least)
-        .cast("double")
-    )
+    whole = lambda x: F.when(F.size(x) < least, F.lit(2**63 - 1)).otherwise(F.greatest(_below(scale) - 1, F.try_element_at(x, F.lit(-1))))
+
+    def share(t: Column) -> Column:
+        upto = lambda x: F.size(F.filter(x, lambda h: h <= t))
+        n = F.least(upto(a), upto(b))
+        return F.when(n == 0, F.lit(0.0)).otherwise(upto(F.array_intersect(a, b)) / n)
+
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(let(F.least(whole(a), whole(b)), share)).cast("double")
 
 
 def encode(a: Column) -> Column:
@@ -90,16 +100,22 @@ def bucket_of(key: Column, splits: list[int]) -> Column:
     return F.aggregate(step, F.lit(0), lambda at, p: F.when(F.coalesce(F.get(a, at + p - 1) <= key, F.lit(False)), at + p).otherwise(at))
 
 
-def with_next(docs: DataFrame, key_col: str, value_cols: dict[str, str], n_buckets: int = 1024) -> DataFrame:
+def n_ranges(docs: DataFrame) -> int:
+    """Ranges for a table of this many bytes (of its files, or as estimated)."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_RANGES, plan_bytes(docs) // RANGE_BYTES + 1))
+
+
+def with_next(docs: DataFrame, key_col: str, value_cols: dict[str, str], n_buckets: int | None = None) -> DataFrame:
     """Add columns of the next row in ascending key order; the last row's next is the first.
 
     ``value_cols`` maps a source column to the name of its copy. Rows are dealt
     into ranges of the key, split at approximate quantiles (a bounded list of
     actual keys), so no task orders the whole table. The first row of a range also
     goes, marked, to the end of the range before; so each range is complete by
-    itself and one shuffle does. Null keys come first; equal keys order by the
-    values' hash.
+    itself and one shuffle does. There are as many ranges as the table's bytes ask for.
+    Null keys come first; equal keys order by the values' hash.
     """
+    n_buckets = n_buckets or n_ranges(docs)
     low = F.lit(-(2**63) + 1)
     key = F.coalesce(F.col(key_col).cast("long"), low)
     steps = [i / n_buckets for i in range(n_buckets)]
@@ -119,7 +135,7 @@ def with_next(docs: DataFrame, key_col: str, value_cols: dict[str, str], n_bucke
 def query(spark, sf_dir: str) -> DataFrame:
     """Contract of op3: fingerprints of each text and of its edited text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("sketch", sketch(F.col("text"))), "doc_id", {"text": "next_text", "sketch": "next_sketch"})
+    rows = with_next(docs.withColumn("sketch", sketch(F.col("text"))), "doc_id", {"text": "next_text", "sketch": "next_sketch"}, n_ranges(docs))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
