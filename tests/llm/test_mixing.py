@@ -49,6 +49,16 @@ def test_texts_have_the_taken_words(spark):
     assert sum(len(r["text"].split()) for r in out) == want
 
 
+def test_blocks_are_spread():
+    """Each prime permutes any number of blocks, and seeds of many shards don't all take runs of neighbours."""
+    strides = set()
+    for p in mixing.PRIMES:
+        for m in (1, 7, 512, 1024, 60_000):
+            assert len({j * p % m for j in range(m)}) == m
+        strides.add(min(p % 1024, 1024 - p % 1024))
+    assert len(mixing.PRIMES) == 16 and len(strides) >= 14 and 1 not in strides
+
+
 def test_highest_quotients(spark):
     votes = [53.0, 24.0, 23.0, 0.0, 7.5, 1.2]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(votes)], "k int, v double")

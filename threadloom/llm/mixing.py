@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, measured_join, n_words
+from .common import SPACE, WORD, durable, let, measured_join, n_words, packed
 
 
 @dataclass(frozen=True)
@@ -33,8 +33,14 @@ class Mix:
     seed: int = 17
 
 
-#: A prime above any number of blocks in a shard, so multiplying by it permutes them.
-PRIME = 2_147_483_647
+def _primes(n: int = 16, least: int = 1_000_000_000, step: int = 61_803_399) -> tuple[int, ...]:
+    """Primes far apart: the first at or after each of ``n`` numbers, a step apart."""
+    small = [p for p in range(2, 46_341) if all(p % q for q in range(2, int(p**0.5) + 1))]
+    return tuple(next(x for x in range(least + k * step, least + (k + 1) * step) if all(x % p for p in small)) for k in range(n))
+
+
+#: Primes above any number of blocks in a shard: multiplying by one permutes them. Each shard's seed draws its own.
+PRIMES = _primes()
 
 
 def webster(rows: DataFrame, group: list[str], key: list[str], votes: str, seats: Column, out: str) -> DataFrame:
@@ -103,19 +109,21 @@ def _place(rows: DataFrame, sources: DataFrame, id_col: str, mix: Mix) -> DataFr
     return rows.withColumn("_shard", F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """Words that the mix takes of each row: ``doc_id, size, source_size, target, taken, cover``.
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix(), with_rows: bool = False) -> DataFrame:
+    """Words that the mix takes of each row: ``doc_id, source, size, source_size, target, taken, cover``.
 
     ``cover`` lists the row's pieces in order, as ``start, stop`` (words, 0-based) and
-    ``times``. Columns in ``keep`` are carried along.
+    ``times``. Whole rows are carried along, as a struct ``row``, if asked for.
 
     Defined cases: null or blank texts have size 0 and nothing is taken; null sources
     are one source, ordered last; rows with equal ids and sizes are interchangeable;
-    all sizes 0 give targets and takings of 0; other columns are ignored.
+    all sizes 0 give targets and takings of 0; texts of any length are cut into blocks;
+    other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    rows = packed(docs, None if with_rows else (), doc_id=F.col(id_col), source=F.col(source_col).cast("string"), size=n_words(F.col(text_col)))
+    rows = rows if with_rows else rows.drop("row")
     sizes = durable(rows.select("doc_id", "source", "size"), "sizes")
-    if not keep:
+    if not with_rows:
         rows = sizes
     sources = durable(plan_sources(sizes, mix), "quotas")
     shards = _place(sizes, sources, "doc_id", mix).groupBy("source", "_shard", "block", "quota").agg(F.sum("size").alias("words"))
@@ -125,8 +133,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shards = shards.withColumn("rounds", F.floor(F.col("quota") / of_source).cast("long")).withColumn("rest", F.col("quota") % of_source)
     shards = durable(shards.select("source", "shard", "words", "blocks", "blocks_d", "rounds", "rest"), "shards")
     quotas = webster(shards, ["source"], ["shard"], "blocks_d", F.col("rest"), "extra")
-    first = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.coalesce("source", F.lit("")), F.col("shard")).cast("binary")), 1, 8), 16, 10).cast("long") % F.col("blocks")
-    quotas = durable(quotas.select("source", "shard", "words", "blocks", "rounds", F.least("extra", "blocks").alias("extra"), first.alias("first")), "quotas")
+    drawn = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.coalesce("source", F.lit("")), F.col("shard")).cast("binary"))
+    number = lambda at: F.conv(F.substring(drawn, at, 8), 16, 10).cast("long")
+    prime = F.get(F.array(*map(F.lit, PRIMES)), (number(9) % len(PRIMES)).cast("int")).cast("long")
+    quotas = durable(quotas.select("source", "shard", "words", "blocks", "rounds", F.least("extra", "blocks").alias("extra"), (number(1) % F.col("blocks")).alias("first"), prime.alias("prime")), "quotas")
     placed = _place(rows, sources, "doc_id", mix)
     q = quotas.select(*(F.col(c).alias(f"_q_{c}") for c in quotas.columns))
     placed = measured_join(placed, q, F.col("source").eqNullSafe(F.col("_q_source")) & (F.col("_shard") == F.col("_q_shard")), "inner")
@@ -137,26 +147,28 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pieces = (
         f"transform(sequence({block_of('_start')}, {block_of('(_stop - 1)')}), j -> named_struct("
         f"'start', greatest(j * {w} div {m}, _start) - _start, 'stop', least((j + 1) * {w} div {m}, _stop) - _start, "
-        f"'times', _q_rounds + if((j * {PRIME} + _q_first) % {m} < _q_extra, 1L, 0L)))"
+        f"'times', _q_rounds + if((j * _q_prime + _q_first) % {m} < _q_extra, 1L, 0L)))"
     )
     none = "cast(array() as array<struct<start:bigint,stop:bigint,times:bigint>>)"
     placed = placed.withColumn("cover", F.expr(f"if(size = 0, {none}, {pieces})"))
     taken = F.aggregate("cover", F.lit(0).cast("long"), lambda n, p: n + (p["stop"] - p["start"]) * p["times"])
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "cover", *(F.col(f"_keep_{c}").alias(c) for c in keep if c not in ("doc_id", "source")))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "cover", *(["row"] if with_rows else []))
 
 
-def taken_texts(mixed: DataFrame, text_col: str, mix: Mix = Mix()) -> DataFrame:
-    """One row for each copy: copy c has the pieces that are taken more than c times.
+def taken_texts(mixed: DataFrame, text_col: str = "text", mix: Mix = Mix()) -> DataFrame:
+    """One ``row`` and its taken ``text`` for each copy: copy c has the pieces that are taken more than c times.
 
     A copy that takes the whole row has the text as it is; another has the pieces'
     words with the white space between them.
     """
-    word = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"
-    rows = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(mix.most_repeats - 1))))
-    held = F.filter("cover", lambda p: p["times"] > F.col("_copy"))
-    rows = rows.withColumn("_held", held).withColumn("_n", F.aggregate("_held", F.lit(0).cast("long"), lambda n, p: n + p["stop"] - p["start"])).where("_n > 0")
-    cut = F.expr(f"ltrim(array_join(flatten(transform(_held, p -> slice(regexp_extract_all({text_col}, r'{word}', 0), cast(p.start + 1 as int), cast(p.stop - p.start as int)))), ''))")
-    return rows.withColumn(text_col, F.when(F.col("_n") == F.col("size"), F.col(text_col)).otherwise(cut)).drop("_copy", "_held", "_n")
+    word = SPACE + "*" + WORD
+    rows = mixed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(mix.most_repeats - 1))))
+    rows = rows.withColumn("held", F.filter("cover", lambda p: p["times"] > F.col("copy")))
+    rows = rows.withColumn("n", F.aggregate("held", F.lit(0).cast("long"), lambda n, p: n + p["stop"] - p["start"])).where("n > 0")
+    part = lambda w: F.array_join(F.flatten(F.transform("held", lambda p: F.slice(w, (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")))), "")
+    # The text is cut into words once, however many pieces are taken of it.
+    cut = F.ltrim(let(F.regexp_extract_all(F.col(f"row.`{text_col}`"), F.lit(word), F.lit(0)), part))
+    return rows.select("row", F.when(F.col("n") == F.col("size"), F.col(f"row.`{text_col}`")).otherwise(cut).alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -164,12 +176,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: each document's taken words, as up to three copies; what the mix leaves out goes."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    out = taken_texts(mix_documents(docs, keep=keep), "text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """Pipeline: each document's taken words, as up to three copies; what the mix leaves out goes.
+
+    ``text`` and ``n_chars`` are those of the taken words. Rows of null, empty or blank
+    texts have nothing to take and go; repeated rows are mixed each for itself; an
+    empty table stays empty; other columns, whatever their names, are kept as they are.
+    """
+    out = taken_texts(mix_documents(docs, with_rows=True))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 SQL = r"""
@@ -199,9 +214,10 @@ h4 AS (SELECT *, CAST(floor(blocks * greatest(rest - n / CAST(2 AS DOUBLE), 0) /
 h5 AS (SELECT source, shard, blocks, rest - sum(lo) OVER (PARTITION BY source) AS left_, lo, hi FROM h4),
 h6 AS (SELECT source, shard, blocks, left_, unnest(range(lo, greatest(hi, lo) + 1)) AS k FROM h5),
 h7 AS (SELECT source, shard, count(*) AS won FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY blocks / CAST(2 * k + 1 AS DOUBLE) DESC, shard) AS r FROM h6) WHERE r <= left_ GROUP BY source, shard),
-shards AS (SELECT h4.source, h4.shard, words, blocks, rounds, least(lo + coalesce(won, 0), blocks) AS extra, CAST('0x' || substr(md5('17:' || coalesce(h4.source, '') || ':' || h4.shard), 1, 8) AS BIGINT) % blocks AS first FROM h4 LEFT JOIN h7 ON h4.source IS NOT DISTINCT FROM h7.source AND h4.shard = h7.shard),
-x AS (SELECT r1.doc_id, r1.size, source_size, target, words, blocks, rounds, extra, first, row_number() OVER () AS row_id, CAST(sum(size) OVER (PARTITION BY r1.source, r1.shard ORDER BY o, r1.doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM r1 JOIN shards ON r1.source IS NOT DISTINCT FROM shards.source AND r1.shard = shards.shard),
+shards AS (SELECT h4.source, h4.shard, words, blocks, rounds, least(lo + coalesce(won, 0), blocks) AS extra, CAST('0x' || substr(md5('17:' || coalesce(h4.source, '') || ':' || h4.shard), 1, 8) AS BIGINT) % blocks AS first,
+  [{primes}][CAST('0x' || substr(md5('17:' || coalesce(h4.source, '') || ':' || h4.shard), 9, 8) AS BIGINT) % {n_primes} + 1] AS prime FROM h4 LEFT JOIN h7 ON h4.source IS NOT DISTINCT FROM h7.source AND h4.shard = h7.shard),
+x AS (SELECT r1.doc_id, r1.size, source_size, target, words, blocks, rounds, extra, first, prime, row_number() OVER () AS row_id, CAST(sum(size) OVER (PARTITION BY r1.source, r1.shard ORDER BY o, r1.doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM r1 JOIN shards ON r1.source IS NOT DISTINCT FROM shards.source AND r1.shard = shards.shard),
 b AS (SELECT *, unnest(range(((stop - size + 1) * blocks - 1) // words, (stop * blocks - 1) // words + 1)) AS j FROM x WHERE size > 0),
-t AS (SELECT row_id, sum((least((j + 1) * words // blocks, stop) - greatest(j * words // blocks, stop - size)) * (rounds + CASE WHEN (j * 2147483647 + first) % blocks < extra THEN 1 ELSE 0 END)) AS taken FROM b GROUP BY row_id)
+t AS (SELECT row_id, sum((least((j + 1) * words // blocks, stop) - greatest(j * words // blocks, stop - size)) * (rounds + CASE WHEN (j * prime + first) % blocks < extra THEN 1 ELSE 0 END)) AS taken FROM b GROUP BY row_id)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM x LEFT JOIN t USING (row_id)
-"""
+""".replace("{primes}", ", ".join(map(str, PRIMES))).replace("{n_primes}", str(len(PRIMES)))
