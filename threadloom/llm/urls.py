@@ -6,7 +6,7 @@ pages against them (a host that links to a bad host is suspect), both by
 personalised PageRank; a host whose score is mostly distrust is blocked.
 
 DataFrame functions only. Hosts and links are aggregated before anything is
-shuffled; each step of the iteration is a durable narrow table.
+shuffled; every few steps of the iteration are a durable narrow table.
 """
 
 from __future__ import annotations
@@ -41,8 +41,11 @@ RULES = (Rule("org/", True), Rule("example.org/es/", False), Rule("example.org/e
 @dataclass(frozen=True)
 class Ranking:
     damping: float = 0.85
-    steps: int = 20
-    tolerance: float = 1e-6
+    #: Steps go on until scores move less than this in all; after k steps what is to come is damping**k at most.
+    tolerance: float = 1e-3
+    #: Steps between tables that are stored, and steps that no tolerance above 1e-14 takes: an error.
+    steps_stored: int = 5
+    most_steps: int = 200
     #: A host is blocked if distrust is above this share of its whole score.
     most_distrust: float = 0.75
 
@@ -86,23 +89,31 @@ def propagate(seeds: DataFrame, links: DataFrame, ranking: Ranking = Ranking())
     """Personalised PageRank of both kinds: ``host, kind, score`` for hosts with a score.
 
     ``seeds``: ``host, kind`` (trust or distrust) and ``seed``, summing to 1 in each
-    kind. Trust follows links, distrust goes against them.
+    kind. Trust follows links, distrust goes against them. What hosts without a link to
+    follow hold goes back to the seeds: that only scales all scores of a kind, so they
+    are summed without it and scaled to 1.
     """
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     edges = durable(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")), "links")
-    scores = durable(seeds.select("host", "kind", F.col("seed").alias("score")), "scores")
+    seeds = durable(seeds.select("host", "kind", F.col("seed").alias("score")), "scores")
     if edges.isEmpty():
-        return scores
-    seeds = scores.withColumnRenamed("score", "seed")
-    for _ in range(ranking.steps):
-        sent = edges.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select(F.col("dst").alias("host"), "kind", (ranking.damping * F.col("share") * F.col("score")).alias("score"))
-        new = durable(sent.unionByName(seeds.select("host", "kind", ((1 - ranking.damping) * F.col("seed")).alias("score"))).groupBy("host", "kind").agg(F.sum("score").alias("score")), "scores")
-        moved = new.join(scores.withColumnRenamed("score", "old"), ["host", "kind"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).first()["d"]
+        return seeds
+    scores = seeds
+    start = seeds.select("host", "kind", ((1 - ranking.damping) * F.col("score")).alias("score"))
+    for _ in range(0, ranking.most_steps, ranking.steps_stored):
+        new = scores
+        for _ in range(ranking.steps_stored):
+            sent = edges.join(new.withColumnRenamed("host", "src"), ["kind", "src"]).select(F.col("dst").alias("host"), "kind", (ranking.damping * F.col("share") * F.col("score")).alias("score"))
+            new = sent.unionByName(start).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        new = durable(new, "scores")
+        moved = new.join(scores.withColumnRenamed("score", "old"), ["host", "kind"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).first()["d"] or 0.0
         scores = new
-        if (moved or 0.0) < ranking.tolerance:
-            break
-    return scores
+        if moved < ranking.tolerance:
+            total = {r["kind"]: r["s"] for r in scores.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
+            whole = F.coalesce(*(F.when(F.col("kind") == k, F.lit(x)) for k, x in total.items()), F.lit(1.0))
+            return scores.select("host", "kind", (F.col("score") / whole).alias("score"))
+    raise RuntimeError(f"scores still move by {moved} after {ranking.most_steps} steps")
 
 
 def host_scores(judged: DataFrame, links: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
@@ -123,8 +134,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``page_id, host, path, rule, verdict`` and the host's ``trust`` and ``distrust``.
 
     Defined cases: null URLs and URLs without ``://`` have empty host and path, no
-    rule, and are allowed; null HTML has no links; hosts without any score are
-    allowed; repeated rows count each; other columns are ignored.
+    rule, and are allowed; null HTML has no links, and pages of any length are read
+    whole; hosts without any score are allowed; repeated rows count each; other columns
+    are ignored; no rows give no rows. A graph whose scores don't settle is an error.
     """
     seen = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
     judged = with_rule(seen.drop("html"), rules)
