@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import packed, ship
 
 ship(__name__)
 
@@ -37,8 +37,8 @@ class Settings:
     text_top: int = 300
     #: A pipeline rejects texts whose score is below this, and those without a language.
     least_score: float = 0.2
-    #: Profiles are held by the driver: this many languages at most.
-    most_languages: int = 1000
+    #: Profiles are held by the driver, 12 bytes an n-gram: more languages than ISO 639 lists (7,900) are an error.
+    most_languages: int = 10_000
 
 
 _letters = []
@@ -109,8 +109,9 @@ def learn(rows: DataFrame, settings: Settings = Settings()) -> Profiles:
     Only the profiles (``top`` n-grams for each language) come to the driver.
     """
     counts = rows.where("lang is not null").select("lang", "text").mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")) - 1
-    best = counts.select("lang", "gram", rank.alias("rank")).where(F.col("rank") < settings.top).groupBy("lang").agg(F.collect_list(F.struct("rank", "gram")).alias("p"))
+    # As row_number() <= top, Spark keeps each task's own best before it shuffles.
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
+    best = counts.withColumn("place", order).where(F.col("place") <= settings.top).groupBy("lang").agg(F.collect_list(F.struct((F.col("place") - 1).alias("rank"), "gram")).alias("p"))
     got = best.limit(settings.most_languages + 1).collect()
     if len(got) > settings.most_languages:
         raise ValueError(f"more than {settings.most_languages} languages")
@@ -157,9 +158,8 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", settin
     text if no language was learned; equal distances go to the first language by code
     point; columns of these names are replaced; no rows give no rows.
     """
-    rest = docs.drop(*(c for c in ("lang_pred", "score") if c in docs.columns))
-    made = rest.withColumn("_p", predictor(profiles, settings)(F.col(text_col)))
-    return made.select(*rest.columns, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    made = packed(docs, text=F.col(text_col)).withColumn("p", predictor(profiles, settings)(F.col("text")))
+    return made.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score")), F.col("p.lang_pred").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -169,7 +169,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: texts without a language, or far from every profile, go."""
+    """Pipeline: texts without a language, or far from every profile, go.
+
+    Null and empty texts and those without letters go; texts of any length are read
+    whole; if no row has a language, nothing can be learned and all go; repeated rows
+    are judged alike; an empty table stays empty; columns of any name are kept as they are.
+    """
     settings = Settings()
     profiles = learn(docs.where(~held_out(F.col("doc_id"))), settings)
-    return identify(docs, profiles, settings=settings).where((F.col("lang_pred") != "und") & (F.col("score") >= settings.least_score)).select(*docs.columns)
+    made = packed(docs, text=F.col("text")).withColumn("p", predictor(profiles, settings)(F.col("text")))
+    return made.where((F.col("p.lang_pred") != "und") & (F.col("p.score") >= settings.least_score)).select("row.*")
