@@ -43,6 +43,18 @@ def test_hilbert_neighbours():
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_reruns_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7)
+    once, again = (packing.digest(packing.pack(d, PACKING)) for d in (docs, docs.repartition(3, "n_chars")))
+    assert once.exceptAll(again).count() == 0 and again.exceptAll(once).count() == 0
+
+
+def test_ranges_follow_the_rows(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('w', id, ' and more') as text")
+    few = packing.pack(docs, PACKING.__class__(PACKING.tokenizer, docs_per_range=10))
+    assert few.rdd.getNumPartitions() == 40 and few.selectExpr("count(distinct sequence_id >> 40) as n").first()["n"] > 20
+
+
 def test_pack(spark):
     data = [(i, t, 7) for i, t in enumerate(ODD)] + [(0, "same", 7), (0, "same", 7), (None, "x y z", 7)]
     rows = packing.pack(spark.createDataFrame(data, "doc_id bigint, text string, length int"), PACKING).collect()
@@ -53,4 +65,9 @@ def test_pack(spark):
         assert r["offset"] == seqs.get(r["sequence_id"], 0)
         seqs[r["sequence_id"]] = r["offset"] + r["length"]
     assert all(n & (n - 1) == 0 for n in seqs.values())
+    texts = {i: t or "" for i, t, _ in data[:-3]}
+    for r in rows:  # each piece has its document's ids
+        if r["doc_id"] in texts and r["doc_id"] != 0:
+            ids = [*whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1]
+            assert np.frombuffer(r["ids"], "<u4").tolist() == ids[r["start"] : r["start"] + r["length"]] and r["doc_tokens"] == len(ids)
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), PACKING).count() == 0

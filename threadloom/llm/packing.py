@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,7 +33,8 @@ class Packing:
     buckets: int = 64
     dims: int = 3
     bits: int = 10
-    #: Documents per range whose keys are sampled to place the ranges' bounds.
+    #: Documents in a range, and how many of them are sampled to place the ranges' bounds.
+    docs_per_range: int = 50_000
     sample_per_range: int = 30
     word_cache: int = 400_000
 
@@ -142,7 +144,7 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _encoded(p: Packing, bounds: list[int] | None):
-    """Rows of ``doc_id, key, part, ids``; without ids if there are no bounds yet."""
+    """Rows of ``doc_id, key, part, tokens, ids``; without ids if there are no bounds yet."""
 
     def run(batches):
         import pyarrow as pa
@@ -151,20 +153,22 @@ def _encoded(p: Packing, bounds: list[int] | None):
         bucket, sign, projection = _tables(p, encoder.whole.get_vocab_size())
         edges = np.array(bounds or [], np.int64)
         for batch in batches:
-            docs, ids, vectors = batch.column(0).to_pylist(), [], np.zeros((batch.num_rows, p.buckets))
+            docs, ids, tokens, vectors = batch.column(0).to_pylist(), [], [], np.zeros((batch.num_rows, p.buckets))
             for k, text in enumerate(batch.column(1)):
                 ids.append(encoder.text(text.as_py() or ""))
                 a = np.frombuffer(ids[-1], encoder.kind)
+                tokens.append(len(a) + 1)
                 if len(a):
                     vectors[k] = np.bincount(bucket[a], sign[a], p.buckets)
             norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-            at = (vectors / np.where(norm > 0, norm, 1)) @ projection
+            # Not by a matrix product: its last bits vary with the number of rows in a batch.
+            at = np.einsum("ij,jk->ik", vectors / np.where(norm > 0, norm, 1), projection, optimize=False)
             # A random unit vector's projection deviates by 1 / sqrt(buckets); this spreads it over the cells.
             cells = ((0.5 + 0.5 * np.tanh(0.8 * at * np.sqrt(p.buckets))) * ((1 << p.bits) - 1)).astype(np.int64)
             tie = np.array([zlib.crc32(str(d).encode()) for d in docs], np.int64)
             key = hilbert(cells, p.bits) << 32 | tie
             part = np.searchsorted(edges, key, "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(part, pa.int32()), pa.array(ids if bounds is not None else [None] * len(ids), pa.binary())], names=["doc_id", "key", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(part, pa.int32()), pa.array(tokens, pa.int64()), pa.array(ids if bounds is not None else [None] * len(ids), pa.binary())], names=["doc_id", "key", "part", "tokens", "ids"])
 
     return run
 
@@ -204,26 +208,26 @@ def cut(lengths, length: int):
 def _packed(p: Packing):
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
         from tokenizers import Tokenizer
 
         kind = np.dtype("<u2") if Tokenizer.from_file(p.tokenizer).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        first = TaskContext.get().partitionId() << 40
         end = np.array([p.end_id], "<u4")
 
         def documents():
             for batch in batches:
-                for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for part, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     ids = np.concatenate([np.frombuffer(raw.as_py(), kind).astype("<u4"), end])
-                    yield (doc, ids), len(ids)
+                    yield part, (doc, ids), len(ids)
 
         rows, schema = [], pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
         send = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        for (doc, ids), start, count, sequence, offset in cut(documents(), p.length):
-            rows.append((doc, start, count, ids[start : start + count].tobytes(), len(ids), first + sequence, offset))
-            if len(rows) >= 2000:
-                yield send()
-                rows.clear()
+        # A task may be given several ranges; each is packed for itself, whatever task it is in.
+        for part, held in groupby(documents(), lambda d: d[0]):
+            for (doc, ids), start, count, sequence, offset in cut((d[1:] for d in held), p.length):
+                rows.append((doc, start, count, ids[start : start + count].tobytes(), len(ids), (part << 40) + sequence, offset))
+                if len(rows) >= 2000:
+                    yield send()
+                    rows.clear()
         if rows:
             yield send()
 
@@ -236,17 +240,22 @@ def pack(docs: DataFrame, packing: Packing, id_col: str = "doc_id", text_col: st
     ``ids`` are little-endian unsigned 32-bit. Defined cases: null or empty text is the
     end id alone; equal ids or texts are documents of their own (the id's checksum
     breaks ties of the curve, so copies spread over ranges); null ids stay null; a text
-    of any length is cut over sequences; other columns are ignored.
+    of any length is cut over sequences; other columns are ignored; no rows give no
+    rows. Ranges hold as many tokens each, by exact quantiles of a sample by id's hash, and
+    rows of a range are sorted by key, id and ids: reruns on the same rows and shuffle
+    partitions give the same pieces.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = "doc_id bigint, key bigint, part int, ids binary"
-    one_in = max(1, rows.count() // (n * packing.sample_per_range))
+    n_docs = rows.count()
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // packing.docs_per_range)
+    schema = "doc_id bigint, key bigint, part int, tokens bigint, ids binary"
+    one_in = max(1, n_docs // (n * packing.sample_per_range))
     sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).mapInArrow(_encoded(packing, None), schema)
-    bounds = sorted(set(sampled.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], F.lit(20 * n))).first()[0] or []))[: n - 1]
+    at = [i / n for i in range(1, n)]
+    bounds = sorted({int(x) for x in (at and sampled.agg(F.percentile("key", at, F.col("tokens"))).first()[0]) or []})
     placed = rows.mapInArrow(_encoded(packing, bounds), schema).repartitionById(n, F.col("part"))
-    return placed.sortWithinPartitions("key", "doc_id").select("doc_id", "ids").mapInArrow(_packed(packing), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return placed.sortWithinPartitions("part", "key", "doc_id", "ids").select("part", "doc_id", "ids").mapInArrow(_packed(packing), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def default_packing() -> Packing:
@@ -265,5 +274,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline, last: the packed pieces of all documents."""
+    """Pipeline, last: the packed pieces of all documents; cases as in ``pack``, columns of any name but the id and text are ignored."""
     return digest(pack(docs, default_packing()))
