@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, measured_join, ship
+from .common import durable, measured_join, packed, ship
 
 ship(__name__)
 
@@ -36,6 +36,8 @@ BITS = 512
 MOST_BITS = 148
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD_CACHE = 500_000
+#: A hub has more links than its share of all among MOST_HUBS, and than LEAST_HUB.
+MOST_HUBS, LEAST_HUB = 10_000, 200
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -238,26 +240,36 @@ def _with_hubs(keys: DataFrame) -> DataFrame:
     return durable(members.join(hubs, "key").select("key", "hub", "doc"), "members")
 
 
+def _at_hubs(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the ``m`` of their ``u``. Of ``n`` rows or fewer, at most MOST_HUBS can share a ``u`` with n / MOST_HUBS others: their ``m`` is broadcast."""
+    many = max(LEAST_HUB, n // MOST_HUBS)
+    hubs = F.broadcast(least.where(F.col("links") > many).select("u", "m"))
+    rest = least.where(F.col("links") <= many).select("u", "m")
+    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``doc, component`` (the smallest id reachable) for each id in ``a, b`` links.
 
     Alternating large and small stars; each step is a durable narrow table. Minima
-    are aggregated before they are joined back, so a hub with very many links is not
-    gathered anywhere.
+    are aggregated before they are joined back, and hubs with very many links, of which
+    there can be few, are joined by broadcast: a hub is not gathered anywhere.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     state = None
+    n = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("links"))
+        large = _at_hubs(both.where("v > u"), least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
+        small = _at_hubs(large, least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         got = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(got) == state:
             break
         state = tuple(got)
+        n = max(n, got[0])
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct())
 
 
@@ -301,9 +313,21 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each group stays."""
-    gone = durable(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return measured_join(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline: one document of each group stays.
+
+    Null, empty and blank texts link with nothing and stay, as do rows with a null id;
+    texts of any length are compared whole; of rows that repeat an id, one stays (that
+    of the least hash); an empty table stays empty; columns of any name are kept as they are.
+    """
+    gone = durable(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    twice = durable(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("twice")).count().where("count > 1").select("twice"), "twice")
+    rows = measured_join(packed(docs, doc=F.col("doc_id").cast("long")), gone, F.col("doc") == F.col("gone"), "left_anti")
+    if not twice.isEmpty():
+        same = F.col("doc") == F.col("twice")
+        # Repeated rows shrink to the least in each task first, so that no id's rows are gathered.
+        least = measured_join(rows, twice, same, "left_semi").groupBy("doc").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        rows = measured_join(rows, twice, same, "left_anti").select("row").unionByName(least.select("row"))
+    return rows.select("row.*")
 
 
 SQL = r"""
