@@ -15,11 +15,13 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Collection
 from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import measured_join, own_path
 
@@ -48,6 +50,24 @@ class Tiers:
         return max(0, math.ceil(math.log(self.target_bytes / max(size, 1), self.ratio)) - 1)
 
 
+def united(known: str | None, new: StructType) -> StructType:
+    """The schema (JSON) of earlier arrivals with a later one's further columns at its end, all of them nullable."""
+    fields = {f.name: f for f in (StructType.fromJson(json.loads(known)) if known else [])}
+    for f in new:
+        old = fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+        if old.dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {old.dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return StructType(list(fields.values()))
+
+
+def shard_column(schema: StructType) -> str:
+    """``shard``, with underscores before it if the table has a column of that name."""
+    name, taken = "shard", {n.lower() for n in schema.names}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 class ManifestConflict(RuntimeError):
     """Another writer committed the version first."""
 
@@ -107,12 +127,20 @@ class ShardStore:
         return sorted((Shard(f"{folder}/{x.getPath().getName()}", x.getLen(), counts[x.getPath().getName()]) for x in listed if x.getPath().getName() in counts), key=lambda s: s.path)
 
     def append(self, df: DataFrame) -> int:
-        """Add an arrival as it is partitioned, and commit it; retried on another writer's commit."""
-        new = self._written(df)
+        """Add an arrival as it is partitioned, and commit it.
+
+        An arrival may lack columns of earlier ones (null there) or bring new ones (null
+        in earlier rows); one with another type for a column is an error and adds nothing.
+        """
+        united(self.manifest()[2], df.schema)
+        return self.add(self._written(df), df.schema)
+
+    def add(self, new: list[Shard], schema: StructType) -> int:
+        """Commit written shards; retried on another writer's commit."""
         while True:
-            version, shards, _ = self.manifest()
+            version, shards, known = self.manifest()
             try:
-                return self.commit(version, shards + new, df.schema.json())
+                return self.commit(version, shards + new, united(known, schema).json())
             except ManifestConflict:
                 continue
 
@@ -146,8 +174,6 @@ class ShardStore:
 
     def compact(self, tiers: Tiers = Tiers()) -> int:
         """Merge tiers until none is due; returns the last version. A conflict plans anew."""
-        from pyspark.sql.types import StructType
-
         while bins := self.plan(tiers):
             version, shards, schema = self.manifest()
             new = self._merged(bins, StructType.fromJson(json.loads(schema)))
@@ -164,31 +190,32 @@ class ShardStore:
                         break
         return self.version()
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete shards that none of the last ``keep`` manifests names; returns how many."""
+    def vacuum(self, keep: int = 1, spared: Collection[str] = ()) -> int:
+        """Delete shards that none of the last ``keep`` manifests names; returns how many.
+
+        Shards that a writer has not committed yet must be ``spared``.
+        """
         last = self.version()
         named = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest(v)[1]}
         count = 0
         for folder in self._fs.listStatus(self._path(f"{self.root}/data")):
             for x in self._fs.listStatus(folder.getPath()):
                 path = f"data/{folder.getPath().getName()}/{x.getPath().getName()}"
-                if path not in named and path.endswith(".parquet"):
+                if path not in named and path not in spared and path.endswith(".parquet"):
                     self._fs.delete(x.getPath(), False)
                     count += 1
         return count
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version, with ``shard``, the path below the store."""
-        from pyspark.sql.types import StructType
-
+        """Rows of a version, with ``shard``, the path below the store (``_shard`` if the table has such a column, and so on)."""
         _, shards, schema = self.manifest(version)
         if schema is None:
             raise FileNotFoundError(f"{self.root} has no version")
         schema = StructType.fromJson(json.loads(schema))
         if not shards:
-            return self.spark.createDataFrame([], schema).withColumn("shard", F.lit(None).cast("string"))
+            return self.spark.createDataFrame([], schema).withColumn(shard_column(schema), F.lit(None).cast("string"))
         df = self.spark.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in shards))
-        return df.withColumn("shard", F.concat(F.lit("data/"), F.array_join(F.slice(F.split(F.input_file_name(), "/"), -2, 2), "/")))
+        return df.withColumn(shard_column(schema), F.concat(F.lit("data/"), F.array_join(F.slice(F.split(F.input_file_name(), "/"), -2, 2), "/")))
 
     def shards(self, version: int | None = None) -> DataFrame:
         """The manifest as rows: ``version, shard, shard_bytes, shard_rows``."""
@@ -196,19 +223,20 @@ class ShardStore:
         return self.spark.createDataFrame([(version, s.path, s.bytes, s.rows) for s in shards], "version bigint, shard string, shard_bytes bigint, shard_rows bigint")
 
 
-def shard_documents(docs: DataFrame, store: ShardStore, tiers: Tiers = Tiers(), id_col: str = "doc_id", arrivals: int = 4) -> ShardStore:
-    """Append a table in ``arrivals`` parts, by hash of the id, compacting after each pair.
+def shard_documents(docs: DataFrame, store: ShardStore, tiers: Tiers = Tiers(), arrivals: int = 4) -> ShardStore:
+    """Append a table in ``arrivals`` parts, compacting after each pair.
 
-    Defined cases: all columns and rows are kept as they are, nulls and repeats too;
-    null ids form part of the first arrival; an empty table commits a version without
-    shards.
+    The table is read once: each of its partitions is written as a small shard, and an
+    arrival is every so many of them. Defined cases: all columns and rows are kept as
+    they are, nulls, repeats and very long texts too; an empty table commits versions
+    without shards.
     """
-    part = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(arrivals))
+    new = store._written(docs)
     for k in range(arrivals):
-        store.append(docs.where(part == k))
+        store.add(new[k::arrivals], docs.schema)
         if k % 2:
             store.compact(tiers)
-            store.vacuum()
+            store.vacuum(spared={s.path for j in range(k + 1, arrivals) for s in new[j::arrivals]})
     store.compact(tiers)
     store.vacuum()
     return store
