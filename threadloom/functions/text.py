@@ -152,26 +152,42 @@ def style_features(text: Column, tokenizer: Callable[[Column], Column] = tokeniz
 
 
 def token_entropy(tokens: Column) -> Column:
-    """Shannon entropy in bits; 0 for no tokens."""
+    """Shannon entropy in bits; 0 for no tokens. Sorted tokens are counted run by run, so long texts take no square of their length."""
     n = F.size(tokens)
-    share = F.transform(F.array_sort(F.array_distinct(tokens)), lambda w: F.size(F.filter(tokens, lambda x: x == w)) / n)
-    bits = F.aggregate(share, F.lit(0.0), lambda z, p: z - p * F.log2(p))
-    return F.when(n > 0, bits).otherwise(F.lit(0.0))
+    term = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+
+    def step(z: Column, w: Column) -> Column:
+        same = z["word"].eqNullSafe(w)
+        return F.struct(w.alias("word"), F.when(same, z["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, z["sum"]).otherwise(z["sum"] + term(z["run"])).alias("sum"))
+
+    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    total = F.aggregate(F.array_sort(tokens), start, step, lambda z: z["sum"] + term(z["run"]))
+    return F.when(n > 0, F.log2(n) - total / n).otherwise(F.lit(0.0))
+
+
+def _last_seen(tokens: Column) -> Column:
+    """For each token the position of the same token before it, or -1: equal tokens are neighbours once sorted."""
+
+    def seen(pairs: Column) -> Column:
+        before = lambda p, k: F.when(F.get(pairs, k - 1)["w"] == p["w"], F.get(pairs, k - 1)["i"]).otherwise(F.lit(-1))
+        return F.transform(F.array_sort(F.transform(pairs, lambda p, k: F.struct(p["i"].alias("i"), before(p, k).alias("last")))), lambda x: x["last"])
+
+    return let(F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), seen)
 
 
 def _mtld_factors(tokens: Column, limit: float) -> Column:
-    """Factors of one direction: full ones, and the part of the last."""
-    empty = F.array().cast("array<string>")
+    """Factors of one direction: full ones, and the part of the last. A token is new if it was last seen before its factor's start."""
 
-    def step(z: Column, w: Column) -> Column:
+    def step(z: Column, last: Column) -> Column:
         def moved(types: Column) -> Column:
-            full = F.size(types) / (z["n"] + 1) <= limit
-            return F.struct(F.when(full, z["factors"] + 1).otherwise(z["factors"]).alias("factors"), F.when(full, empty).otherwise(types).alias("types"), F.when(full, F.lit(0)).otherwise(z["n"] + 1).alias("n"))
+            full = types / (z["at"] - z["start"] + 1) <= limit
+            return F.struct(F.when(full, z["factors"] + 1).otherwise(z["factors"]).alias("factors"), F.when(full, F.lit(0)).otherwise(types).alias("types"), F.when(full, z["at"] + 1).otherwise(z["start"]).alias("start"), (z["at"] + 1).alias("at"))
 
-        return let(F.array_union(z["types"], F.array(w)), moved)
+        return let(F.when(last < z["start"], z["types"] + 1).otherwise(z["types"]), moved)
 
-    start = F.struct(F.lit(0.0).alias("factors"), empty.alias("types"), F.lit(0).alias("n"))
-    return F.aggregate(tokens, start, step, lambda z: z["factors"] + F.when(z["n"] > 0, (1 - F.size(z["types"]) / z["n"]) / (1 - limit)).otherwise(0.0))
+    begin = F.struct(F.lit(0.0).alias("factors"), F.lit(0).alias("types"), F.lit(0).alias("start"), F.lit(0).alias("at"))
+    rest = lambda z: F.when(z["at"] > z["start"], (1 - z["types"] / (z["at"] - z["start"])) / (1 - limit)).otherwise(0.0)
+    return F.aggregate(_last_seen(tokens), begin, step, lambda z: z["factors"] + rest(z))
 
 
 def mtld(tokens: Column, limit: float = MTLD_LIMIT) -> Column:

@@ -11,34 +11,53 @@ from . import ship
 ship(__name__)
 
 
-def gram(x: np.ndarray) -> np.ndarray:
-    """Gaussian kernel matrix; width from the median squared distance, exponents within 0.01 to 100."""
-    d = (x[:, None] - x[None, :]) ** 2
-    above = d[np.triu_indices(len(x), 1)]
-    median = float(np.median(above)) if len(above) else 0.0
-    out = np.exp(-np.clip(d / median if median > 0 else d, 1e-2, 1e2))
-    np.fill_diagonal(out, 1.0)
-    return out
+def median_square(x: np.ndarray) -> float:
+    """Median squared distance of two values, by counting pairs below a distance: no table of all pairs is made."""
+    y, n = np.sort(x), len(x)
+    pairs = n * (n - 1) // 2
+
+    def smallest(k: int) -> float:
+        """The k-th smallest distance (from 1): the least float that as many pairs don't exceed."""
+        low, high = -1.0, float(y[-1] - y[0])
+        while True:
+            mid = (low + high) / 2 if low >= 0 else 0.0
+            if mid in (low, high):
+                return high
+            if (np.searchsorted(y, y + mid, "right") - np.arange(1, n + 1)).sum() >= k:
+                high = mid
+            else:
+                low = mid
+            if high == 0.0:
+                return 0.0
+
+    return (smallest((pairs + 1) // 2) ** 2 + smallest(pairs // 2 + 1) ** 2) / 2 if pairs else 0.0
 
 
 def change_points(series, penalty: float = 3.0, least: int = 2) -> list[int]:
     """Last index of each segment but the final one; none for series shorter than four.
 
     The total cost of segments plus ``penalty`` for each is minimized exactly over all
-    segmentations with ``least`` points or more in a segment.
+    segmentations with ``least`` points or more in a segment. A segment's cost is its
+    length less its mean kernel row; the kernel is Gaussian, its width from the median
+    squared distance, its exponents within 0.01 to 100. Rows of the kernel are made one by
+    one, so memory is linear in the series.
     """
     x = np.asarray(series, float)
     n = len(x)
     if n < 4:
         return []
-    s = np.zeros((n + 1, n + 1))
-    s[1:, 1:] = gram(x).cumsum(0).cumsum(1)
+    width = median_square(x) or 1.0
+    inner = np.zeros(n)  # for each start, the kernel's sum over the segment up to here
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
-    for end in range(least, n + 1):
+    for end in range(1, n + 1):
+        row = np.exp(-np.clip((x[:end] - x[end - 1]) ** 2 / width, 1e-2, 1e2))
+        row[-1] = 1.0
+        inner[:end] += 2 * row[::-1].cumsum()[::-1] - 1
+        if end < least:
+            continue
         start = np.arange(0, end - least + 1)
-        inner = s[end, end] - 2 * s[start, end] + s[start, start]
-        total = best[start] + (end - start) - inner / (end - start) + penalty
+        total = best[start] + (end - start) - inner[start] / (end - start) + penalty
         k = int(np.argmin(total))
         best[end], back[end] = total[k], start[k]
     cuts, at = [], n

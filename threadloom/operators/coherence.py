@@ -109,7 +109,7 @@ def trend(decayed: DataFrame, order: str = "round", least: int = 3) -> DataFrame
     return decayed.agg(F.when(enough, F.regr_slope("mean", order)).alias("slope"), F.when(enough, F.regr_intercept("mean", order)).alias("intercept"))
 
 
-def heatmap(df: DataFrame, value: str, most_round: int = 10) -> DataFrame:
-    """Long form of the thread by round table, with each thread's mean for ordering."""
-    cells = df.where(F.col("round") <= most_round).groupBy("thread_id", "round").agg(F.avg(value).alias("value"))
+def heatmap(df: DataFrame, value: str) -> DataFrame:
+    """Long form of the thread by round table over all rounds, with each thread's mean for ordering."""
+    cells = df.groupBy("thread_id", "round").agg(F.avg(value).alias("value"))
     return cells.withColumn("row_mean", F.avg("value").over(Window.partitionBy("thread_id")))

@@ -274,3 +274,42 @@ def keywords(df: DataFrame, by: str, text: str, features: int = 1000, top: int =
     norm = scored.groupBy(by, "_d").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
     means = scored.join(norm, [by, "_d"]).groupBy(by, "term").agg((F.sum(F.col("_x") / F.col("_norm")) / F.first("_n")).alias("score"))
     return means.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "term"))).where(F.col("rank") <= top)
+
+
+def compare_polarization(users: DataFrame) -> DataFrame:
+    """Polarization of users' own mean attitudes and of the propagated ones, a row each."""
+    of = lambda column, name: polarization(users.where(F.col(column).isNotNull()).select(F.col(column).alias("attitude"))).withColumn("attitudes", F.lit(name))
+    return of("mean_attitude", "original").unionByName(of("propagated_attitude", "propagated"))
+
+
+def sub_community_scores(users: DataFrame, pairs: DataFrame, e: Echo = Echo()) -> DataFrame:
+    """Size, means and the four parts of the echo score of each ``sub_community``, each taken for itself; highest first.
+
+    Users without one are left out. Only edges inside a sub-community count; as there is
+    one group, its separation is 0.
+    """
+    rows = users.where(F.col("sub_community").isNotNull()).withColumnRenamed("sub_community", "part")
+    x = F.col("propagated_attitude")
+    polar = polarization(rows.select("part", x.alias("attitude")), ["part"])
+    size = rows.groupBy("part").agg(F.count("user_id").alias("size"), F.avg(x).alias("avg_attitude"), F.avg("exposure_diversity").alias("avg_diversity"))
+    end = lambda c: rows.select(F.col("user_id").alias(c), F.col("part").alias(f"p{c}"), x.alias(f"x{c}"))
+    ends = pairs.join(end("a"), "a").join(end("b"), "b").where("pa = pb and xa is not null and xb is not null").select(F.col("pa").alias("part"), "xa", "xb")
+    both = ends.unionByName(ends.select("part", F.col("xb").alias("xa"), F.col("xa").alias("xb")))
+    alike = both.groupBy("part").agg(F.coalesce(stats.pearson(F.col("xa"), F.col("xb")), F.lit(0.0)).alias("assortativity"), F.avg((F.col("xa") * F.col("xb") > 0).cast("double")).alias("homophily_ratio"))
+    one, zero, p, o = F.lit(1.0), F.lit(0.0), e.polarization, e.overall
+    made = {
+        "polarization": F.least(one, p["variance"] * F.least(one, F.col("variance") / 0.5) + p["bimodality"] * F.least(one, F.col("bimodality") / 0.7) + p["inter_group_distance"] * F.least(one, F.abs("inter_group_distance") / 1.5)),
+        "homophily": F.least(one, 0.5 * F.greatest(zero, F.coalesce("assortativity", zero)) + 0.5 * F.coalesce("homophily_ratio", zero)),
+        "diversity": F.greatest(zero, 1 - F.coalesce("avg_diversity", one)),
+        "separation": zero,
+    }
+    out = size.join(polar, "part").join(alike, "part", "left").select(F.col("part").alias("sub_community"), "size", "avg_attitude", "avg_diversity", *(v.alias(k) for k, v in made.items()))
+    return out.withColumn("echo_chamber_score", sum((o[k] * F.col(k) for k in made), F.lit(0.0))).orderBy(F.desc("echo_chamber_score"), "sub_community")
+
+
+def landscape(metrics: DataFrame, users: DataFrame, columns: list[str]) -> DataFrame:
+    """Users' local metrics on their first two principal components, with community and attitude."""
+    from .clustering import principal, scale
+
+    scores = principal(scale(metrics.na.drop(subset=columns), columns), columns, k=2, key="user_id")
+    return scores.select("user_id", F.get("x", F.lit(0)).alias("PC1_Ideological"), F.get("x", F.lit(1)).alias("PC2_Structural")).join(users.select("user_id", "community", "propagated_attitude"), "user_id", "left")

@@ -110,3 +110,19 @@ def extremes(df: DataFrame, score: str, key: str, n: int = 25) -> DataFrame:
     low = df.orderBy(F.col(score).asc(), key).limit(n)
     high = df.orderBy(F.col(score).desc(), F.col(key).desc()).limit(n)
     return low.unionByName(high).distinct()
+
+
+def drop_artefact(df: DataFrame, key: str, values: tuple = ()) -> DataFrame:
+    """Rows without those that a header left behind: rows whose key is null or one of ``values``, wherever they are."""
+    known = F.col(key).isNotNull()
+    return df.where(known & ~F.col(key).isin(*values) if values else known)
+
+
+def side_by_side(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Columns of two frames for the same keys; a key that one side lacks has nulls there."""
+    return left.join(right, key, "full")
+
+
+def medians(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """The exact median, interpolated, and how many values it is of, by group."""
+    return df.groupBy(*by).agg(F.median(value).alias("median"), F.count(value).alias("n"))

@@ -67,6 +67,7 @@ def components(people: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> Da
     """``node, component`` (smallest node reachable): labels spread along edges and jump to their label's label.
 
     Lineage is cut by reliable checkpoints where the session has a checkpoint folder.
+    Labels that still change after ``max_rounds`` are an error.
     """
     edges = symmetric(pairs).select("node", "neighbour")
     reliable = people.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
@@ -80,8 +81,8 @@ def components(people: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> Da
         changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
         labels = new
         if changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
 
 
 def graph_stats(people: DataFrame, edges: DataFrame) -> DataFrame:
@@ -154,13 +155,24 @@ def communities(people: DataFrame, pairs: DataFrame, within: DataFrame | None =
     return found.unionByName(alone)
 
 
-def label_propagation(people: DataFrame, pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """``node, community`` by weighted label propagation, distributed; ties go to the smaller label."""
+def label_propagation(people: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``node, community`` by weighted label propagation, distributed; ties go to the smaller label.
+
+    A node hears its neighbours' labels by weight, and its own with weight 1/2. Rounds go
+    on until no label changes or labels come back to those of two rounds before (pairs
+    of nodes that swap theirs); beyond ``max_rounds`` it is an error.
+    """
     edges = symmetric(pairs)
-    labels = people.select(F.col("user_id").alias("node"), F.col("user_id").alias("community"))
-    for k in range(rounds):
+    reliable = people.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    keep = lambda df: df.checkpoint() if reliable else df.persist()
+    labels = keep(people.select(F.col("user_id").alias("node"), F.col("user_id").alias("community")))
+    sums: list = []
+    for _ in range(max_rounds):
         heard = edges.join(labels.select(F.col("node").alias("neighbour"), "community"), "neighbour").groupBy("node", "community").agg(F.sum("weight").alias("w"))
         own = labels.withColumn("w", F.lit(0.5))
         best = heard.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).groupBy("node").agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("community"))
-        labels = best.persist() if k % 3 == 2 else best
-    return labels
+        labels = keep(best)
+        sums.append(labels.agg(F.expr("bit_xor(xxhash64(node, community))")).first()[0])
+        if sums[-1] in sums[-3:-1]:
+            return labels
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")

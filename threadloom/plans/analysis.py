@@ -63,9 +63,16 @@ def change_points(spark, d):
     return dynamics.change_points(turns(spark, d), D)
 
 
+def stepped(spark, d):
+    """Users' posts as threads, whose signal steps up in the middle of the month: there are change points to find."""
+    rows = posts(spark, d).withColumn("thread_id", F.col("user_id") % 50).withColumn("round", F.col("id"))
+    step = F.when(F.col("day") >= 15, 0.45).otherwise(-0.45)
+    return dynamics.order_turns(rows.withColumn("roberta_compound", F.col("roberta_compound") * 0.1 + step), D)
+
+
 @query("m16_arcs_with_changes")
 def arcs_with_changes(spark, d):
-    return dynamics.thread_summaries(turns(spark, d), D)
+    return dynamics.thread_summaries(stepped(spark, d), D)
 
 
 @query("m17_change_timing")
@@ -82,7 +89,10 @@ def thread_emotions(spark, d):
     return dynamics.thread_emotions(posts(spark, d)).select("thread_id", "dominant_emotion", "emotion_entropy")
 
 
-@query("a21_arc_emotions")
+ARC_EMOTIONS = f"SELECT arc_type, {', '.join(f'avg({e}) AS {e}' for e in E7)} FROM ({ARCS.replace(THREADS, POSTS)}) JOIN (SELECT thread_id, {', '.join(f'avg(emotion_{e}) AS {e}' for e in E7)} FROM ({POSTS}) GROUP BY thread_id) USING (thread_id) GROUP BY arc_type"
+
+
+@query("a21_arc_emotions", ARC_EMOTIONS, " ".join(E7))
 def arc_emotions(spark, d):
     rows = dynamics.order_turns(posts(spark, d), D)
     return dynamics.arc_emotions(dynamics.thread_summaries(rows, D, with_changes=False))
@@ -408,6 +418,35 @@ def loading_weights(spark, d):
     return spark.createDataFrame(sorted(w.items()), "metric string, weight double")
 
 
+_BOTH = f"SELECT 'original' AS attitudes, mean_attitude AS x FROM ({USERS}) UNION ALL SELECT 'propagated', attitude FROM ({FINAL})"
+
+
+@query("e8_original_propagated", f"SELECT attitudes, {_POLAR} FROM ({MOMENTS.format(by='attitudes,', s=_BOTH, group='GROUP BY attitudes')})", "variance bimodality inter_group_distance")
+def original_propagated(spark, d):
+    users = echo.user_attitudes(attitudes(spark, d)).join(snapshot(spark, d).withColumnRenamed("attitude", "propagated_attitude"), "user_id", "left")
+    return echo.compare_polarization(users)
+
+
+SUBS = f"""WITH u AS (SELECT user_id, propagated_attitude AS x, exposure_diversity AS v, CASE WHEN user_id % 7 < 5 THEN 's' || user_id % 7 END AS part FROM ({PEOPLE})),
+p AS (SELECT part, {_POLAR} FROM ({MOMENTS.format(by='part,', s='SELECT part, x FROM u WHERE part IS NOT NULL', group='GROUP BY part')})),
+e AS (SELECT ua.part, ua.x AS xa, ub.x AS xb FROM ({PAIRS}) JOIN u ua ON a = ua.user_id JOIN u ub ON b = ub.user_id WHERE ua.part = ub.part),
+h AS (SELECT part, coalesce(CASE WHEN var_pop(xa) > 0 THEN corr(xa, xb) END, 0) AS r, avg(CAST(xa * xb > 0 AS INT)) AS s FROM (SELECT part, xa, xb FROM e UNION ALL SELECT part, xb, xa FROM e) GROUP BY part),
+z AS (SELECT part, count(*) AS size, avg(x) AS avg_attitude, avg(v) AS avg_diversity FROM u WHERE part IS NOT NULL GROUP BY part),
+y AS (SELECT z.part AS sub_community, size, avg_attitude, avg_diversity, least(1, 0.4 * least(1, variance / 0.5) + 0.3 * least(1, bimodality / 0.7) + 0.3 * least(1, abs(inter_group_distance) / 1.5)) AS polarization, least(1, 0.5 * greatest(0, coalesce(r, 0)) + 0.5 * coalesce(s, 0)) AS homophily, greatest(0, 1 - avg_diversity) AS diversity, 0 AS separation FROM z JOIN p ON p.part = z.part LEFT JOIN h ON h.part = z.part)
+SELECT *, 0.3 * polarization + 0.3 * homophily + 0.2 * diversity AS echo_chamber_score FROM y"""
+
+
+@query("a26_sub_communities", SUBS, "avg_attitude avg_diversity polarization homophily diversity separation echo_chamber_score", 4)
+def sub_community_scores(spark, d):
+    users = people(spark, d).withColumn("sub_community", F.when(F.col("user_id") % 7 < 5, F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string"))))
+    return echo.sub_community_scores(users, pairs(spark, d))
+
+
+@query("e14_landscape")
+def landscape(spark, d):
+    return echo.landscape(local_metrics(spark, d), people(spark, d), _LOCAL)
+
+
 @query("g10_communities")
 def communities(spark, d):
     return graph.communities(nodes(spark, d), pairs(spark, d))
@@ -415,7 +454,7 @@ def communities(spark, d):
 
 @query("g10_label_propagation")
 def label_propagation(spark, d):
-    return graph.label_propagation(nodes(spark, d), pairs(spark, d), 5)
+    return graph.label_propagation(nodes(spark, d), pairs(spark, d))
 
 
 @query("g15_sub_communities")

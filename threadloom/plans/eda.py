@@ -292,7 +292,7 @@ def vertical_concat(spark, d):
     return table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("n")).unionByName(table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")))
 
 
-@query("r3_pivot_long", f"SELECT thread_id, round, avg(roberta_compound) AS value, avg(avg(roberta_compound)) OVER (PARTITION BY thread_id) AS row_mean FROM ({POSTS}) WHERE round <= 10 GROUP BY thread_id, round", "value row_mean")
+@query("r3_pivot_long", f"SELECT thread_id, round, avg(roberta_compound) AS value, avg(avg(roberta_compound)) OVER (PARTITION BY thread_id) AS row_mean FROM ({POSTS}) GROUP BY thread_id, round", "value row_mean")
 def pivot_long(spark, d):
     from ..operators.coherence import heatmap
 
@@ -337,3 +337,19 @@ def first_last(spark, d):
 @query("w13_recency_weights", f"SELECT id, exp(day - max(day) OVER (PARTITION BY user_id)) AS w FROM ({POSTS})", "w")
 def recency(spark, d):
     return posts(spark, d).select("id", F.exp(F.col("day") - F.max("day").over(Window.partitionBy("user_id"))).alias("w"))
+
+
+@query("p14_header_artefact", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IS NOT NULL AND c_custkey <> (SELECT min(c_custkey) FROM customer)")
+def header_artefact(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_name")
+    return eda.drop_artefact(rows, "c_custkey", (rows.agg(F.min("c_custkey")).first()[0],))
+
+
+@query("r2_horizontal_concat", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
+def horizontal_concat(spark, d):
+    return eda.side_by_side(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("w15_median", "SELECT event_type, median(value) AS median, count(value) AS n FROM events GROUP BY event_type", "median")
+def medians(spark, d):
+    return eda.medians(table(spark, d, "events"), "value", "event_type")

@@ -8,7 +8,7 @@ from ..backends import models
 from ..operators import clustering, coherence, eda, echo, sentiment, topics
 from ..sources.driver_tables import table, threads
 from .registry import query
-from .text import STOP
+from .text import EMOJI_SQL, STOP
 
 
 @query("x1_lexicon_sentiment")
@@ -83,7 +83,7 @@ def drift(spark, d):
 
 @query("u2_tweet_clusters")
 def tweet_clusters(spark, d):
-    return clustering.cluster_texts(threads(spark, d).select("id", "tweet"), models.hashed_embedder(64), 10, 3).select("id", "x", "y", "cluster")
+    return clustering.cluster_texts(threads(spark, d).select("id", "tweet"), models.hashed_embedder(64), 20, 3).select("id", "x", "y", "cluster")
 
 
 @query("t4_t15_feature_table")
@@ -91,12 +91,12 @@ def features(spark, d):
     return clustering.extract_features(threads(spark, d).select("id", "user_id", "tweet"), stop_words=STOP).drop("tweet", "tokens", "clean_tweet", "cleaned_tweet")
 
 
-@query("a9_a10_user_rates", r"SELECT user_id, avg(len(regexp_extract_all(text, '[!-/:-@\[-`{-~]')) / CAST(length(text) AS DOUBLE)) AS mean_punctuation_rate FROM (SELECT CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS user_id, text FROM conversations) GROUP BY user_id", "mean_punctuation_rate")
+@query("a9_a10_user_rates", r"SELECT user_id, avg(len(regexp_extract_all(text, '" + EMOJI_SQL + r"')) / CAST(length(text) AS DOUBLE)) AS mean_emoji_rate, avg(len(regexp_extract_all(text, '[!-/:-@\[-`{-~]')) / CAST(length(text) AS DOUBLE)) AS mean_punctuation_rate FROM (SELECT CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS user_id, text FROM conversations) GROUP BY user_id", "mean_emoji_rate mean_punctuation_rate")
 def user_rates(spark, d):
     from ..functions import text
 
     rows = threads(spark, d).withColumn("emoji_rate", text.emoji_rate(F.col("tweet"))).withColumn("punctuation_rate", text.punctuation_rate(F.col("tweet")))
-    return clustering.user_rates(rows).select("user_id", "mean_punctuation_rate")
+    return clustering.user_rates(rows)
 
 
 @query("a8_user_lengths", "SELECT user_id, avg(length(text)) AS mean_length, coalesce(stddev_samp(length(text)), 0) AS std_length FROM (SELECT CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS user_id, text FROM conversations) GROUP BY user_id", "mean_length std_length")

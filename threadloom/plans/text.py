@@ -108,7 +108,18 @@ def ease(spark, d):
     return table(spark, d, "documents").select("doc_id", t.reading_ease(F.col("text")).alias("ease"))
 
 
-@query("t15_lexical_features")
+#: MTLD as a recursion over token positions, both ways: the types so far, until their share of a factor's tokens falls to 0.72.
+_SPLIT = "list_filter(string_split(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')), ' '), lambda w: w <> '')"
+MTLD_SQL = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, {_SPLIT} AS t FROM conversations), d AS (SELECT conv_id, turn, 0 AS way, t FROM k UNION ALL SELECT conv_id, turn, 1, list_reverse(t) FROM k),
+s AS (SELECT conv_id, turn, way, t, 0 AS i, 0 AS f, CAST([] AS VARCHAR[]) AS types, 0 AS n FROM d
+  UNION ALL SELECT conv_id, turn, way, t, i + 1, f + CAST(ends AS INT), CASE WHEN ends THEN CAST([] AS VARCHAR[]) ELSE now END, CASE WHEN ends THEN 0 ELSE n + 1 END
+  FROM (SELECT *, len(now) / CAST(n + 1 AS DOUBLE) <= 0.72 AS ends FROM (SELECT *, CASE WHEN list_contains(types, t[i + 1]) THEN types ELSE list_append(types, t[i + 1]) END AS now FROM s WHERE i < len(t)))),
+m AS (SELECT conv_id, turn, len(t) AS n, f + CASE WHEN s.n > 0 THEN (1 - len(types) / CAST(s.n AS DOUBLE)) / 0.28 ELSE 0 END AS factors FROM s WHERE i = len(t)),
+x AS (SELECT conv_id, turn, max(n) AS n, CASE WHEN max(n) < 2 THEN 0 ELSE avg(CASE WHEN factors > 0 THEN n / factors ELSE 0 END) END AS mtld FROM m GROUP BY conv_id, turn)"""
+TURN_ENTROPY = f"SELECT conv_id, turn, -sum(n / CAST(total AS DOUBLE) * log2(n / CAST(total AS DOUBLE))) AS entropy FROM (SELECT conv_id, turn, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY conv_id, turn) AS total FROM (SELECT conv_id, turn, unnest({_SPLIT}) AS w FROM conversations) GROUP BY conv_id, turn, w) GROUP BY conv_id, turn"
+
+
+@query("t15_lexical_features", MTLD_SQL + f" SELECT x.conv_id, x.turn, CASE WHEN n >= 5 THEN mtld END AS mtld, CASE WHEN n >= 5 THEN entropy END AS entropy, CAST(n AS INT) AS token_count FROM x LEFT JOIN ({TURN_ENTROPY}) e ON e.conv_id = x.conv_id AND e.turn = x.turn", "mtld entropy")
 def lexical(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", t.split_words(F.lower("text")).alias("k"))
     return rows.select("conv_id", "turn", *t.lexical_features(F.col("k")).values())
@@ -144,7 +155,7 @@ def entropy(spark, d):
     return s.select("doc_id", (F.log2("t") - F.col("q") / F.col("t")).alias("entropy"))
 
 
-@query("h13_mtld")
+@query("h13_mtld", MTLD_SQL + " SELECT conv_id, turn, mtld FROM x", "mtld")
 def mtld(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", t.mtld(t.split_words(F.lower("text"))).alias("mtld"))
 

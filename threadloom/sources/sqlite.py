@@ -50,7 +50,9 @@ def table_info(path: str, table: str) -> list[tuple[str, str]]:
 
 
 def read_table(spark: SparkSession, path: str, table: str, folder: str | None = None) -> DataFrame:
-    """All rows of a table. ``folder`` (shared on a cluster) takes the Parquet copy."""
+    """All rows of a table. ``folder`` takes the Parquet copy; a cluster needs one that driver and executors share."""
+    if folder is None and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("name a folder that driver and executors share")
     columns = table_info(path, table)
     if not columns:
         raise ValueError(f"{path} has no table {table}")
