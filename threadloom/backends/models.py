@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.text import split_words, tokenize
+from ..functions.text import let, split_words, tokenize
 from ..kernels import ship
 
 ship(__name__)
@@ -40,42 +40,111 @@ def _table(d: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
 
 
+#: Further rules of the lexicon method: words in capitals, what "but" takes from before it and gives after it, and question marks.
+CAPITALS, BUT, MOST_LOUD, LOUD = 0.733, (0.5, 1.5), 4, 0.292
+QUESTIONS = {2: 0.36, 3: 0.54}
+MANY_QUESTIONS = 0.96
+EDGES = r"^[^\p{L}\p{N}']+|[^\p{L}\p{N}']+$"
+
+
 def lexicon_sentiment(text: Column, valence: dict | None = None) -> Column:
-    """Struct of neg, neu, pos, compound; null for null or empty text.
+    """Struct of neg, neu, pos, compound; null for null or empty text. For lexicons of thousands of words see ``lexicon_model``.
 
-    Word valences, boosted by up to three words before and turned by a negation among
-    them, sum to ``s``; exclamation marks add to it; compound is s / sqrt(s^2 + 15).
+    A word's valence grows by capitals (if not all words are), by boosters among up to
+    three words before it and is turned by a negation there; "but" halves what is before
+    it and adds half to what is after. Exclamation and question marks add to the sum
+    ``s``; compound is s / sqrt(s^2 + 15).
     """
-    words = F.transform(split_words(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}']+|[^\p{L}\p{N}']+$", ""))
+    written = F.transform(split_words(text), lambda w: F.regexp_replace(w, EDGES, ""))
     lexicon, boosts = _table(valence or VALENCE), _table(BOOSTERS)
     negations = F.array(*(F.lit(w) for w in NEGATIONS))
+    capital = lambda w: (w == F.upper(w)) & (w != F.lower(w))
 
-    def valued(w: Column, i: Column, all_words: Column) -> Column:
-        base = F.coalesce(F.try_element_at(lexicon, w), F.lit(0.0))
+    def valued(raw: Column, i: Column, all_raw: Column, low: Column, some: Column, at: Column) -> Column:
+        base = F.coalesce(F.try_element_at(lexicon, F.get(low, i)), F.lit(0.0))
         sign = F.when(base < 0, -1.0).otherwise(1.0)
-        out = base
+        out = base + F.when(some & capital(raw), sign * CAPITALS).otherwise(0.0)
         negated = F.lit(False)
         for k, damp in enumerate(DAMPED):
-            before = F.get(all_words, i - (k + 1))
+            before = F.get(low, i - (k + 1))
             out = out + sign * damp * F.coalesce(F.try_element_at(boosts, before), F.lit(0.0))
             negated = negated | F.coalesce(F.array_contains(negations, before), F.lit(False))
-        return F.when(base == 0, F.lit(0.0)).when(negated, out * NEGATED).otherwise(out)
+        out = F.when(base == 0, F.lit(0.0)).when(negated, out * NEGATED).otherwise(out)
+        return out * F.when((at < 0) | (i == at), 1.0).when(i < at, BUT[0]).otherwise(BUT[1])
 
-    values = F.get(F.transform(F.array(words), lambda ws: F.transform(ws, lambda w, i: valued(w, i, ws))), F.lit(0))
+    def values(raw: Column) -> Column:
+        low = F.transform(raw, lambda w: F.lower(w))
+        some = F.exists(raw, capital) & ~F.forall(raw, capital)
+        facts = F.struct(raw.alias("raw"), low.alias("low"), some.alias("some"), (F.array_position(low, "but").cast("int") - 1).alias("at"))
+        return let(facts, lambda f: F.transform(f["raw"], lambda w, i: valued(w, i, f["raw"], f["low"], f["some"], f["at"])))
 
     def made(vs: Column) -> Column:
         add = lambda keep: F.aggregate(F.filter(vs, keep), F.lit(0.0), lambda z, v: z + v)
+        asked = F.regexp_count(text, F.lit(r"\?"))
+        questions = F.when(asked > 3, F.lit(MANY_QUESTIONS))
+        for n, x in QUESTIONS.items():
+            questions = questions.when(asked == n, F.lit(x))
+        loud = F.least(F.regexp_count(text, F.lit("!")), F.lit(MOST_LOUD)) * LOUD + questions.otherwise(0.0)
         total = add(lambda v: F.lit(True))
-        loud = F.least(F.regexp_count(text, F.lit("!")), F.lit(4)) * 0.292
         total = F.when(total > 0, total + loud).when(total < 0, total - loud).otherwise(total)
-        pos, neg = add(lambda v: v > 0) + F.size(F.filter(vs, lambda v: v > 0)), -add(lambda v: v < 0) + F.size(F.filter(vs, lambda v: v < 0))
+        pos, neg = add(lambda v: v > 0) + F.size(F.filter(vs, lambda v: v > 0)), F.size(F.filter(vs, lambda v: v < 0)) - add(lambda v: v < 0)
+        pos, neg = F.when(pos > neg, pos + loud).otherwise(pos), F.when(neg > pos, neg + loud).otherwise(neg)
         neu = F.size(F.filter(vs, lambda v: v == 0)).cast("double")
         all_ = F.nullif(pos + neg + neu, F.lit(0.0))
         part = lambda x: F.coalesce(F.round(x / all_, 3), F.lit(0.0))
         return F.struct(part(neg).alias("neg"), part(neu).alias("neu"), part(pos).alias("pos"), F.round(total / F.sqrt(total * total + NORMALIZER), 4).alias("compound"))
 
-    scored = F.get(F.transform(F.array(values), made), F.lit(0))
-    return F.when(F.coalesce(text, F.lit("")) != "", scored)
+    return F.when(F.coalesce(text, F.lit("")) != "", let(let(written, values), made))
+
+
+def score_words(text: str, valence: dict[str, float]) -> tuple[float, float, float, float]:
+    """The rules of ``lexicon_sentiment`` for one text: neg, neu, pos and compound, not rounded."""
+    edge = re.compile(r"^[^\w']+|[^\w']+$|^_+|_+$")
+    written = [edge.sub("", w) for w in text.split()]
+    low = [w.lower() for w in written]
+    capital = [w == w.upper() and w != w.lower() for w in written]
+    some = any(capital) and not all(capital)
+    at = low.index("but") if "but" in low else None
+    values = []
+    for i, w in enumerate(low):
+        base = valence.get(w, 0.0)
+        value = 0.0
+        if base:
+            sign = -1.0 if base < 0 else 1.0
+            near = [low[i - k] for k in (1, 2, 3) if i >= k]
+            value = base + sign * (CAPITALS * (some and capital[i]) + sum(d * BOOSTERS.get(x, 0.0) for d, x in zip(DAMPED, near, strict=False)))
+            value *= NEGATED if set(near) & set(NEGATIONS) else 1.0
+            value *= 1.0 if at is None or i == at else BUT[i > at]
+        values.append(value)
+    asked = text.count("?")
+    loud = min(text.count("!"), MOST_LOUD) * LOUD + (MANY_QUESTIONS if asked > 3 else QUESTIONS.get(asked, 0.0))
+    total = sum(values)
+    total += loud * ((total > 0) - (total < 0))
+    pos, neg, neu = sum(v + 1 for v in values if v > 0), sum(1 - v for v in values if v < 0), sum(v == 0 for v in values)
+    pos, neg = pos + loud * (pos > neg), neg + loud * (neg > pos)
+    parts = pos + neg + neu or 1.0
+    return neg / parts, neu / parts, pos / parts, total / (total * total + NORMALIZER) ** 0.5
+
+
+def read_lexicon(path: str) -> dict[str, float]:
+    """Word valences of a tab-separated lexicon file: word, mean valence, and columns that are ignored."""
+    with open(path, encoding="utf-8") as f:
+        rows = (line.rstrip("\n").split("\t") for line in f)
+        return {r[0].lower(): float(r[1]) for r in rows if len(r) > 1}
+
+
+def lexicon_model(valence: dict[str, float]) -> TextModel:
+    """``lexicon_sentiment`` for lexicons of any size, in Arrow batches: words are looked up by hash, not along a list of the plan."""
+    names = ("neg", "neu", "pos", "compound")
+
+    @F.pandas_udf(StructType([StructField(c, DoubleType()) for c in names]))
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        rows = [score_words(t, valence) if isinstance(t, str) and t else (None,) * 4 for t in texts]
+        made = pd.DataFrame(rows, columns=names, dtype=float)
+        made[["neg", "neu", "pos"]] = made[["neg", "neu", "pos"]].round(3)
+        return made.assign(compound=made["compound"].round(4))
+
+    return lambda text: F.when(F.coalesce(text, F.lit("")) != "", scored(text))
 
 
 def lexicon_classes(text: Column) -> Column:
