@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from threadloom.backends import models
-from threadloom.operators import coherence, sentiment
+from threadloom.operators import clustering, coherence, sentiment, topics
 
 VALENCE = {"fine": 1.0, "grim": -2.0}
 
@@ -54,3 +54,17 @@ def test_python_models_behind_the_hooks(spark):
     cross = models.pair_scorer(lambda: lambda pairs: [float(len(a) - len(b)) for a, b in pairs], batch=1)
     flagged, summary = coherence.run(posts, embed, models.token_overlap_matcher, cross)
     assert flagged.count() == 2 and summary.first()["n_replies"] == 2
+
+
+def test_injected_estimators(spark):
+    """Reducers and clusterers of the caller's are used in place of the own ones."""
+    first = lambda df, columns, key: df.select(key, F.array(F.col(columns[0]).cast("double"), F.lit(1.0)).alias("x"))
+    sign = lambda df, key: df.select(key, F.when(F.get("x", F.lit(0)) > 0, 1).otherwise(0).alias("cluster"))
+    agents = spark.createDataFrame([(i, float(i - 5), float(i * i)) for i in range(12)], "id long, a double, b double")
+    got = clustering.fit_agents(agents, ("a", "b"), scaler=lambda df, columns: df, reducer=first, clusterer=sign, mixer=sign).collect()
+    assert all(r["hdbscan_cluster"] == r["gmm_cluster"] == int(r["a"] > 0) for r in got) and len(got) == 12
+    texts = spark.createDataFrame([(i, f"text number{i} of many words here and there now") for i in range(8)], "id long, tweet string")
+    embed = models.encoder(lambda: lambda rows: [[float(len(t) % 2) - 0.5, 0.0] for t in rows])
+    assert {r["cluster"] for r in clustering.cluster_texts(texts, embed, size=2, reducer=first, clusterer=sign).collect()} <= {0, 1}
+    found = topics.embedding_topics(topics.prepare(texts, ("of",)), embed, 2, reducer=first, clusterer=sign).collect()
+    assert len(found) == 8 and {r["bertopic_topic"] for r in found} <= {0, 1}

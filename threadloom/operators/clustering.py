@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -121,23 +121,41 @@ def density_clusters(df: DataFrame, least: int, samples: int, x: str = "x", key:
     return df.select(F.lit(0).alias("g"), key, F.col(x).alias("x")).groupBy("g").applyInPandas(run, schema)
 
 
-def fit_agents(df: DataFrame, columns: Sequence[str] = FEATURES, share: float = 0.80, k: int = 4, least: int = 6, samples: int = 2, seed: int = 42, key: str = "id") -> DataFrame:
-    """Agents with gmm_cluster, hdbscan_cluster, PC1, PC2; those without all features have none."""
-    data = scale(matrix(df, columns, key), columns).persist()
-    reduced = principal(data, columns, share=share, key=key).persist()
+#: Injected estimators. A scaler takes a frame and its columns and returns the frame; a reducer takes a frame, its
+#: columns and its key and returns ``key, x`` (array of doubles); a clusterer takes ``key, x`` and the key and returns ``key, cluster``.
+Scaler = Callable[[DataFrame, Sequence[str]], DataFrame]
+Reducer = Callable[[DataFrame, Sequence[str], str], DataFrame]
+Clusterer = Callable[[DataFrame, str], DataFrame]
+
+
+def fit_agents(
+    df: DataFrame, columns: Sequence[str] = FEATURES, share: float = 0.80, k: int = 4, least: int = 6, samples: int = 2, seed: int = 42, key: str = "id",
+    scaler: Scaler | None = None, reducer: Reducer | None = None, clusterer: Clusterer | None = None, mixer: Clusterer | None = None,
+) -> DataFrame:
+    """Agents with gmm_cluster, hdbscan_cluster, PC1, PC2; those without all features have none.
+
+    ``scaler``, ``reducer``, ``clusterer`` and ``mixer`` replace standard scaling, principal
+    components, density clustering and the mixture.
+    """
+    data = (scaler or scale)(matrix(df, columns, key), columns).persist()
+    reduced = (reducer(data, columns, key) if reducer else principal(data, columns, share=share, key=key)).persist()
     flat = principal(data, columns, k=2, out="xy", key=key).select(key, F.get("xy", F.lit(0)).alias("PC1"), F.get("xy", F.lit(1)).alias("PC2"))
-    dense = density_clusters(reduced, least, samples, key=key).withColumnRenamed("cluster", "hdbscan_cluster")
-    out = df.join(mixture(reduced, k, seed, key=key), key, "left").join(dense, key, "left").join(flat, key, "left")
+    dense = (clusterer(reduced, key) if clusterer else density_clusters(reduced, least, samples, key=key)).withColumnRenamed("cluster", "hdbscan_cluster")
+    mixed = mixer(reduced, key).withColumnRenamed("cluster", "gmm_cluster") if mixer else mixture(reduced, k, seed, key=key)
+    out = df.join(mixed, key, "left").join(dense, key, "left").join(flat, key, "left")
     return out.withColumn("Agent_Cluster", F.col("gmm_cluster"))
 
 
-def cluster_texts(df: DataFrame, embedder, least: int = 20, samples: int = 3, column: str = "tweet", key: str = "id", size: int = 64) -> DataFrame:
-    """Non-blank texts with clean_tweet, x, y and cluster: embedding, two principal components, density clusters."""
+def cluster_texts(df: DataFrame, embedder, least: int = 20, samples: int = 3, column: str = "tweet", key: str = "id", size: int = 64, reducer: Reducer | None = None, clusterer: Clusterer | None = None) -> DataFrame:
+    """Non-blank texts with clean_tweet, x, y and cluster: embedding, two principal components, density clusters.
+
+    ``reducer`` and ``clusterer`` replace the latter two.
+    """
     rows = df.withColumn("clean_tweet", text.clean_tweet(F.col(column))).where("clean_tweet <> ''")
     names = [f"_e{j}" for j in range(size)]
     wide = rows.select(key, embedder(F.col("clean_tweet")).alias("_e")).select(key, *(F.get("_e", F.lit(j)).alias(n) for j, n in enumerate(names)))
-    flat = principal(wide, names, k=2, key=key).persist()
-    found = density_clusters(flat, least, samples, key=key)
+    flat = (reducer(wide, names, key) if reducer else principal(wide, names, k=2, key=key)).persist()
+    found = clusterer(flat, key) if clusterer else density_clusters(flat, least, samples, key=key)
     return rows.join(flat.select(key, F.get("x", F.lit(0)).alias("x"), F.get("x", F.lit(1)).alias("y")), key).join(found, key)
 
 
