@@ -36,8 +36,8 @@ BITS = 512
 MOST_BITS = 148
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD_CACHE = 500_000
-#: A hub has more links than its share of all among MOST_HUBS, and than LEAST_HUB.
-MOST_HUBS, LEAST_HUB = 10_000, 200
+#: Tasks that a vertex's links are dealt to when its component is found.
+SALTS = 8
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -240,36 +240,33 @@ def _with_hubs(keys: DataFrame) -> DataFrame:
     return durable(members.join(hubs, "key").select("key", "hub", "doc"), "members")
 
 
-def _at_hubs(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """``rows`` with the ``m`` of their ``u``. Of ``n`` rows or fewer, at most MOST_HUBS can share a ``u`` with n / MOST_HUBS others: their ``m`` is broadcast."""
-    many = max(LEAST_HUB, n // MOST_HUBS)
-    hubs = F.broadcast(least.where(F.col("links") > many).select("u", "m"))
-    rest = least.where(F.col("links") <= many).select("u", "m")
-    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
+def _at_hubs(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` with the ``m`` of their ``u``; a hub's rows are dealt to SALTS tasks, each of which gets its ``m``."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    every = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return salted.join(every, ["u", "salt"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """``doc, component`` (the smallest id reachable) for each id in ``a, b`` links.
 
     Alternating large and small stars; each step is a durable narrow table. Minima
-    are aggregated before they are joined back, and hubs with very many links, of which
-    there can be few, are joined by broadcast: a hub is not gathered anywhere.
+    are aggregated before they are joined back, and a hub's links are dealt to several
+    tasks there: a hub is not gathered anywhere.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     state = None
-    n = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("links"))
-        large = _at_hubs(both.where("v > u"), least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links"))
-        small = _at_hubs(large, least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = _at_hubs(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _at_hubs(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         got = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(got) == state:
             break
         state = tuple(got)
-        n = max(n, got[0])
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct())
 
 
