@@ -473,7 +473,15 @@ def echo_pipeline(spark, d):
     return echo.run(posts(spark, d)).echo_chamber_metrics
 
 
-@query("e13_community_keywords")
+KEYWORDS = rf"""WITH w AS (SELECT user_id, id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(tweet, '')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) >= 2) AS w FROM ({THREADS})),
+k AS (SELECT user_id, count(*) AS n FROM w GROUP BY user_id HAVING count(*) >= 3), t AS (SELECT user_id, id, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w),
+tf AS (SELECT user_id, id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT user_id, term, df FROM (SELECT user_id, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY user_id, term) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY total DESC, encode(term)) <= 1000),
+x AS (SELECT tf.user_id, tf.id, tf.term, n, tf * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS x FROM tf JOIN df ON df.user_id = tf.user_id AND df.term = tf.term JOIN k ON k.user_id = tf.user_id),
+s AS (SELECT x.user_id, x.term, sum(x / norm) / max(n) AS score FROM x JOIN (SELECT user_id, id, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL) USING (user_id, id) GROUP BY x.user_id, x.term)
+SELECT user_id, term, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, encode(term)) AS INT) AS rank FROM s QUALIFY rank <= 10"""
+
+
+@query("e13_community_keywords", KEYWORDS, "score")
 def keywords(spark, d):
     return echo.keywords(threads(spark, d), "user_id", "tweet", 1000, 10)
 
