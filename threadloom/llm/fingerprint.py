@@ -19,8 +19,8 @@ from .common import let, plan_bytes, words
 SHINGLE = 5
 #: One hash in SCALE is kept, but no fewer than LEAST. A long text's fingerprint has one character a word, more or less.
 SCALE, LEAST = 16, 32
-#: Bytes of files that a range of documents has, and the most ranges (bounds are literals of the plan).
-RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 14
+#: Bytes of files that a range of documents has, ranges for each core at least, and the most ranges (bounds are literals of the plan).
+RANGE_BYTES, RANGES_A_CORE, MOST_RANGES = 4 << 20, 16, 1 << 16
 
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
@@ -52,8 +52,8 @@ def sketch(text: Column, scale: int = SCALE, k: int = SHINGLE, least: int = LEAS
     """
 
     def kept(h: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < _below(scale))))
-        return let(low, lambda a: F.when(F.size(a) >= least, a).otherwise(F.slice(F.array_sort(F.array_distinct(h)), 1, least)))
+        low = F.sort_array(F.array_distinct(F.filter(h, lambda x: x < _below(scale))))
+        return let(low, lambda a: F.when(F.size(a) >= least, a).otherwise(F.slice(F.sort_array(F.array_distinct(h)), 1, least)))
 
     return let(shingles(text, k), kept)
 
@@ -61,7 +61,7 @@ def sketch(text: Column, scale: int = SCALE, k: int = SHINGLE, least: int = LEAS
 def merge(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
     """The sketch of two texts' united shingle sets, from their sketches."""
     cut = lambda u: F.slice(u, F.lit(1), F.greatest(F.size(F.filter(u, lambda x: x < _below(scale))), F.lit(least)))
-    return let(F.array_sort(F.array_union(a, b)), cut)
+    return let(F.sort_array(F.array_union(a, b)), cut)
 
 
 def containment(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
@@ -102,7 +102,7 @@ def bucket_of(key: Column, splits: list[int]) -> Column:
 
 def n_ranges(docs: DataFrame) -> int:
     """Ranges for a table of this many bytes (of its files, or as estimated)."""
-    return max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_RANGES, plan_bytes(docs) // RANGE_BYTES + 1))
+    return max(RANGES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, min(MOST_RANGES, plan_bytes(docs) // RANGE_BYTES + 1))
 
 
 def with_next(docs: DataFrame, key_col: str, value_cols: dict[str, str], n_buckets: int | None = None) -> DataFrame:
