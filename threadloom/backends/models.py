@@ -149,10 +149,12 @@ def lexicon_model(valence: dict[str, float]) -> TextModel:
 
 def lexicon_classes(text: Column) -> Column:
     """Three-class default: array of ``label, score`` from the lexicon's parts; null for blank text."""
-    s = lexicon_sentiment(text)
-    total = s["neg"] + s["neu"] + s["pos"]
-    rows = [F.struct(F.lit(f"LABEL_{k}").alias("label"), F.coalesce(s[c] / F.nullif(total, F.lit(0.0)), F.lit(1 / 3)).alias("score")) for k, c in enumerate(("neg", "neu", "pos"))]
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.array(*rows))
+
+    def rows(s: Column) -> Column:
+        total = F.nullif(s["neg"] + s["neu"] + s["pos"], F.lit(0.0))
+        return F.array(*(F.struct(F.lit(f"LABEL_{k}").alias("label"), F.coalesce(s[c] / total, F.lit(1 / 3)).alias("score")) for k, c in enumerate(("neg", "neu", "pos"))))
+
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", let(lexicon_sentiment(text), rows))
 
 
 #: Default cue words of the offline emotion heuristic.
