@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from threadloom.llm import packing
@@ -22,6 +23,31 @@ def test_ids_of_any_text(text):
     assert np.frombuffer(own.text(text), own.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_are_merged_together():
+    whole, own = Tokenizer.from_file(PACKING.tokenizer), packing.Encoder(PACKING.tokenizer, 100_000, True)
+    calls, merge = [], own.merge
+    own.merge = lambda pieces: (calls.append(len(pieces)), merge(pieces))
+    texts = [" ".join(f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}zq{i * k}é, Àx!" for i in range(300)) for k in range(9)] + ODD
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, at = own.texts(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+    assert len(calls) == 1  # thousands of new words: one call, and none when they come again
+    few = packing.Encoder(PACKING.tokenizer, 5, True)
+    few.last[:] = False  # as if the vocabulary lacked letters: pieces one by one
+    for one in (own, few):
+        assert [np.frombuffer(one.text(t), one.kind).tolist() for t in texts] == want
+    assert len(few.words) <= 5
+
+
+def test_slices_do_not_matter(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ODD))), pa.array(ODD, pa.string())], names=["doc_id", "text"])
+    encode = lambda: pa.Table.from_batches(packing._encoded(PACKING, [1 << 40], True)(iter([batch, batch.slice(0, 0), batch.slice(2)])))
+    once = encode()
+    monkeypatch.setattr(packing, "SLICE_BYTES", 10)
+    assert once.num_rows == 2 * len(ODD) - 2 and encode().equals(once)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=30))
 def test_cut(lengths):

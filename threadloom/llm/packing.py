@@ -42,10 +42,12 @@ class Packing:
 #: Words of these characters split alike here and in the tokenizer: no other letters, no
 #: apostrophes (contractions) and no "<" (control tokens).
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]+")
-PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: White space beyond ASCII's, where str.split and the tokenizer may differ.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
+#: Pieces of lower-cased plain words, each of which ends in a line feed.
+PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
+
+#: Bytes of text encoded at once, and documents sampled for each task that encodes samples.
+SLICE_BYTES = 8 << 20
+SAMPLES_PER_TASK = 1_000
 
 
 def _byte_letters() -> list[str]:
@@ -56,43 +58,86 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Ids of a text as little-endian bytes, through a bounded cache of words.
+    """Ids of texts as little-endian bytes, through a bounded cache of words.
 
-    White space separates tokens, so a text's ids are its words' ids in a row. A plain
-    word is cut into the tokenizer's pieces here and only merged by its model; any
-    other word goes through the whole tokenizer.
+    ASCII white space separates tokens, so a text's ids are its words' ids in a row: Arrow
+    splits texts and finds their distinct words, and only these are looked up here. New
+    words are taken together: plain ones are cut into the tokenizer's pieces, and new
+    pieces are merged by its model in few calls; any other word goes through the whole tokenizer.
     """
 
+    #: Pieces merged in a call.
+    AT_ONCE = 8192
+
     def __init__(self, path: str, most: int, plain: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole, self.most, self.words, self.parts = Tokenizer.from_file(path), most, {}, {}
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.model, self.plain, self.letters = self.whole.model, plain, _byte_letters()
-
-    def part(self, piece: str) -> bytes:
-        got = self.parts.get(piece)
-        if got is None:
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            spelled = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-            got = self.parts[piece] = np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
-        return got
-
-    def word(self, word: str) -> bytes:
-        if self.plain and PLAIN.fullmatch(word):
-            got = b"".join(map(self.part, PIECES.findall(word.lower())))
-        else:
-            got = np.array(self.whole.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self.words) >= self.most:
-            self.words.clear()
-        self.words[word] = got
-        return got
+        self.plain, self.letters = plain, {b: c for b, c in enumerate(_byte_letters()) if b != 0x20}
+        if plain:  # the model alone, over pieces that are spelled in its letters and separated by spaces
+            self.merger = Tokenizer(self.whole.model)
+            self.merger.normalizer, self.merger.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+            vocabulary, suffix = self.whole.get_vocab(), self.whole.model.end_of_word_suffix
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def merge(self, pieces: list[str]) -> None:
+        """Put the ids of new pieces into ``parts``; a piece ends at the id whose token has the suffix."""
+        spelled = " ".join(pieces).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.merger.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, self.kind)
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
+        if len(ends) == len(pieces):
+            raw = ids.tobytes()
+            self.parts.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        else:  # the vocabulary lacks letters
+            for piece, one in zip(pieces, spelled.split(" "), strict=True):
+                self.parts[piece] = np.array([t.id for t in self.whole.model.tokenize(one)], self.kind).tobytes()
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words."""
+        plain = list(filter(PLAIN.fullmatch, words)) if self.plain else []
+        pieces = PIECES.findall("".join([w + "\n" for w in plain]).lower())
+        if len(self.parts) >= self.most:
+            self.parts.clear()
+        self.parts["\n"] = b""
+        new = list(dict.fromkeys(p for p in pieces if p not in self.parts))
+        for at in range(0, len(new), self.AT_ONCE):
+            self.merge(new[at : at + self.AT_ONCE])
+        found = list(map(self.parts.__getitem__, pieces))
+        stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        stops = stops[np.fromiter((p == "\n" for p in pieces), bool, len(pieces))].tolist()
+        raw = b"".join(found)
+        out = dict(zip(plain, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        for w in words if len(out) < len(words) else []:
+            if w not in out:
+                out[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        return out
+
+    def texts(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts in a row, and where each text's begin and end there."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(column.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.words.get, distinct))
+        new = self.learn([w for w, ids in zip(distinct, found, strict=True) if ids is None])
+        found = [new[w] if ids is None else ids for w, ids in zip(distinct, found, strict=True)]
+        self.words.update(new)
+        if len(self.words) > self.most:  # these texts' words are the likeliest to come again
+            self.words = dict(zip(distinct, found, strict=True)) if len(found) <= self.most else {}
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        starts, raw = (np.frombuffer(b or b"", t) for b, t in zip(ids.buffers()[1:], (np.int64, self.kind), strict=True))
+        starts = starts[: len(ids) + 1] // self.kind.itemsize if len(ids) else np.zeros(1, np.int64)
+        at = starts[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return raw[: starts[-1]], at
 
     def text(self, text: str) -> bytes:
-        words = [w for w in ASCII_SPACE.split(text) if w] if ODD_SPACE.search(text) else text.split()
-        known = self.words.get
-        return b"".join([known(w) or self.word(w) for w in words])
+        import pyarrow as pa
+
+        return self.texts(pa.array([text], pa.string()))[0].tobytes()
 
 
 def is_word_bpe(path: str) -> bool:
@@ -143,32 +188,40 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _encoded(p: Packing, bounds: list[int] | None):
+def _slices(batch):
+    """A batch in slices of ``SLICE_BYTES`` of text, more or less: a slice is not less than a row."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a)
+
+
+def _encoded(p: Packing, bounds: list[int] | None, plain: bool):
     """Rows of ``doc_id, key, part, tokens, ids``; without ids if there are no bounds yet."""
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(p.tokenizer, p.word_cache, is_word_bpe(p.tokenizer))
+        encoder = Encoder(p.tokenizer, p.word_cache, plain)
         bucket, sign, projection = _tables(p, encoder.whole.get_vocab_size())
         edges = np.array(bounds or [], np.int64)
-        for batch in batches:
-            docs, ids, tokens, vectors = batch.column(0).to_pylist(), [], [], np.zeros((batch.num_rows, p.buckets))
-            for k, text in enumerate(batch.column(1)):
-                ids.append(encoder.text(text.as_py() or ""))
-                a = np.frombuffer(ids[-1], encoder.kind)
-                tokens.append(len(a) + 1)
-                if len(a):
-                    vectors[k] = np.bincount(bucket[a], sign[a], p.buckets)
+        for batch in (s for b in batches for s in _slices(b)):
+            ids, at = encoder.texts(batch.column(1))
+            n, counts = batch.num_rows, np.diff(at)
+            vectors = np.bincount(np.repeat(np.arange(n) * p.buckets, counts) + bucket[ids], sign[ids], n * p.buckets).reshape(n, p.buckets)
             norm = np.linalg.norm(vectors, axis=1, keepdims=True)
             # Not by a matrix product: its last bits vary with the number of rows in a batch.
-            at = np.einsum("ij,jk->ik", vectors / np.where(norm > 0, norm, 1), projection, optimize=False)
+            place = np.einsum("ij,jk->ik", vectors / np.where(norm > 0, norm, 1), projection, optimize=False)
             # A random unit vector's projection deviates by 1 / sqrt(buckets); this spreads it over the cells.
-            cells = ((0.5 + 0.5 * np.tanh(0.8 * at * np.sqrt(p.buckets))) * ((1 << p.bits) - 1)).astype(np.int64)
-            tie = np.array([zlib.crc32(str(d).encode()) for d in docs], np.int64)
+            cells = ((0.5 + 0.5 * np.tanh(0.8 * place * np.sqrt(p.buckets))) * ((1 << p.bits) - 1)).astype(np.int64)
+            tie = np.array([zlib.crc32(str(d).encode()) for d in batch.column(0).to_pylist()], np.int64)
             key = hilbert(cells, p.bits) << 32 | tie
             part = np.searchsorted(edges, key, "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(part, pa.int32()), pa.array(tokens, pa.int64()), pa.array(ids if bounds is not None else [None] * len(ids), pa.binary())], names=["doc_id", "key", "part", "tokens", "ids"])
+            raw = pa.nulls(n, pa.binary())
+            if bounds is not None:
+                raw = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.array(at * ids.itemsize, pa.int32()).buffers()[1], pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(part, pa.int32()), pa.array(counts + 1, pa.int64()), raw], names=["doc_id", "key", "part", "tokens", "ids"])
 
     return run
 
@@ -208,16 +261,14 @@ def cut(lengths, length: int):
 def _packed(p: Packing):
     def run(batches):
         import pyarrow as pa
-        from tokenizers import Tokenizer
 
-        kind = np.dtype("<u2") if Tokenizer.from_file(p.tokenizer).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         end = np.array([p.end_id], "<u4")
 
         def documents():
             for batch in batches:
-                for part, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    ids = np.concatenate([np.frombuffer(raw.as_py(), kind).astype("<u4"), end])
-                    yield part, (doc, ids), len(ids)
+                for part, doc, tokens, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    ids = np.concatenate([np.frombuffer(raw, "<u2" if len(raw) == 2 * (tokens - 1) else "<u4").astype("<u4"), end])
+                    yield part, (doc, ids), tokens
 
         rows, schema = [], pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
         send = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -251,11 +302,13 @@ def pack(docs: DataFrame, packing: Packing, id_col: str = "doc_id", text_col: st
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // packing.docs_per_range)
     schema = "doc_id bigint, key bigint, part int, tokens bigint, ids binary"
     one_in = max(1, n_docs // (n * packing.sample_per_range))
-    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).mapInArrow(_encoded(packing, None), schema)
+    plain = is_word_bpe(packing.tokenizer)
+    # Few tasks encode the sample: each task loads the tokenizer.
+    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).repartition(1 + n * packing.sample_per_range // SAMPLES_PER_TASK).mapInArrow(_encoded(packing, None, plain), schema)
     at = [i / n for i in range(1, n)]
     bounds = sorted({int(x) for x in (at and sampled.agg(F.percentile("key", at, F.col("tokens"))).first()[0]) or []})
-    placed = rows.mapInArrow(_encoded(packing, bounds), schema).repartitionById(n, F.col("part"))
-    return placed.sortWithinPartitions("part", "key", "doc_id", "ids").select("part", "doc_id", "ids").mapInArrow(_packed(packing), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    placed = rows.mapInArrow(_encoded(packing, bounds, plain), schema).repartitionById(n, F.col("part"))
+    return placed.sortWithinPartitions("part", "key", "doc_id", "ids").select("part", "doc_id", "tokens", "ids").mapInArrow(_packed(packing), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def default_packing() -> Packing:
