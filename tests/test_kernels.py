@@ -73,6 +73,13 @@ def test_change_points_by_full_kernel():
     assert found > 3 and changepoint.change_points([1.0] * 20) == []
 
 
+def test_gram():
+    """Squared distances 1, 4 and 9, so the width is 4; no distances: width 1, exponents of 0.01 at least."""
+    e = np.exp([-0.25, -1.0, -2.25])
+    assert changepoint.gram([0, 1, 3]) == pytest.approx(np.array([[1, e[0], e[2]], [e[0], 1, e[1]], [e[2], e[1], 1]]), rel=1e-12)
+    assert changepoint.gram([2.0, 2.0])[0] == pytest.approx([1, np.exp(-0.01)]) and changepoint.gram([]).shape == (0, 0)
+
+
 def test_median_square_and_long_series():
     for x in samples(40, 8):
         d = (x[:, None] - x[None, :])[np.triu_indices(len(x), 1)] ** 2
