@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, stats, vectors
+from ..stored import durable
 from . import graph
 
 #: Anchor sentences of both stances: fixed values that the scores depend on.
@@ -154,7 +155,7 @@ def echo_score(polar: DataFrame, homophily: DataFrame, diversity: DataFrame, sta
 
 @dataclass
 class EchoResult:
-    """Everything the analysis makes, as lazy frames."""
+    """Everything the analysis makes, as frames over a few stored tables."""
 
     tweets: DataFrame
     user_attitudes: DataFrame
@@ -185,17 +186,19 @@ def run(df: DataFrame, e: Echo = Echo(), embedder=None, cross_scorer=None, size:
     if "stance_ensemble" not in df.columns:
         df = estimate_stance(df, embedder, cross_scorer, size, e=e)
     tweets = add_attitudes(df, e=e)
-    users = user_attitudes(tweets)
+    # All that follows needs these columns only; stored, the posts are made once and not again for each table.
+    rows = durable(tweets.select("id", "user_id", "day", "like", "reaction_count", "comment_to", "shared_from", "attitude_score"), "attitudes")
+    users = durable(user_attitudes(rows), "users")
     people = graph.nodes(users)
-    edges = graph.build(tweets, people).persist()
-    pairs = graph.undirected(edges)
-    history = propagation(tweets)
-    final = final_attitudes(history).persist()
+    edges = durable(graph.build(rows, people), "graph")
+    pairs = durable(graph.undirected(edges), "pairs")
+    history = propagation(rows)
+    final = durable(final_attitudes(history), "final")
     diversity = graph.exposure_diversity(pairs, final)
-    found = (communities or graph.communities)(people, pairs).persist()
-    users = (
+    found = durable((communities or graph.communities)(people, pairs), "found")
+    users = durable(
         users.join(final.select("user_id", F.col("attitude").alias("propagated_attitude")), "user_id", "left")
-        .join(diversity, "user_id", "left").join(found.select(F.col("node").alias("user_id"), "community"), "user_id", "left")
+        .join(diversity, "user_id", "left").join(found.select(F.col("node").alias("user_id"), "community"), "user_id", "left"), "users",
     )
     polar, homo, stat = polarization(final), graph.homophily(pairs, final), community_stats(users)
     return EchoResult(tweets, users, edges, pairs, graph.graph_stats(people, edges), history, final, polar, homo, diversity, found, graph.modularity(pairs, found), stat, echo_score(polar, homo, users.select("exposure_diversity").where("exposure_diversity is not null"), stat, e))

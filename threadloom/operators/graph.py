@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..kernels import louvain
+from ..stored import durable
 
 
 def nodes(user_attitudes: DataFrame) -> DataFrame:
@@ -66,27 +67,26 @@ def neighbour_attitudes(pairs: DataFrame, attitudes: DataFrame) -> DataFrame:
 def components(people: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``node, component`` (smallest node reachable): labels spread along edges and jump to their label's label.
 
-    Lineage is cut by reliable checkpoints where the session has a checkpoint folder.
-    Labels that still change after ``max_rounds`` are an error.
+    Edges and each round's labels are stored tables, so a round reads two narrow tables
+    and never makes the edges again. Labels that still change after ``max_rounds`` are an error.
     """
-    edges = symmetric(pairs).select("node", "neighbour")
-    reliable = people.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    keep = lambda df: df.checkpoint() if reliable else df.persist()
-    labels = keep(people.select(F.col("user_id").alias("node"), F.col("user_id").alias("component")))
+    edges = durable(symmetric(pairs).select("node", "neighbour"), "edges")
+    labels = durable(people.select(F.col("user_id").alias("node"), F.col("user_id").alias("component")), "components")
     for _ in range(max_rounds):
         seen = edges.join(labels.select(F.col("node").alias("neighbour"), "component"), "neighbour").groupBy("node").agg(F.min("component").alias("m"))
-        lower = labels.join(seen, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
+        lower = labels.join(seen, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = keep(lower.join(jump, "component").select("node", F.least("component", "root").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
-        labels = new
-        if changed:
+        new = lower.join(jump, "component").select("node", F.least("component", "root").alias("component"), "old")
+        new = durable(new.select("node", "component", (F.col("component") != F.col("old")).alias("moved")), "components")
+        labels = new.select("node", "component")
+        if new.where("moved").isEmpty():
             return labels
     raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
 
 
 def graph_stats(people: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, weak components, average degree."""
+    people, edges = durable(people.select("user_id"), "people"), durable(edges.select("src", "dst", "weight"), "directed")
     n, m = people.agg(F.count(F.lit(1)).alias("n_nodes")), edges.agg(F.count(F.lit(1)).alias("n_edges"))
     parts = components(people, undirected(edges)).agg(F.countDistinct("component").alias("n_components"))
     nn, mm = F.col("n_nodes"), F.col("n_edges")
@@ -145,7 +145,8 @@ def communities(people: DataFrame, pairs: DataFrame, within: DataFrame | None =
         ends = pairs.join(within.select(F.col("node").alias("a"), F.col("part").alias("part")), "a").join(within.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b").where("part = pb")
         found = ends.groupBy("part").applyInPandas(louvain.run_part, "part string, node bigint, community int") if dict(within.dtypes)["part"] == "string" else ends.withColumn("part", F.col("part").cast("string")).groupBy("part").applyInPandas(louvain.run_part, "part string, node bigint, community int")
         return found.select("node", F.concat_ws("_", "part", F.col("community").cast("string")).alias("community"))
-    found = pairs.select(F.lit(0).alias("g"), "a", "b", "weight").groupBy("g").applyInPandas(louvain.run_all, "node bigint, community int")
+    pairs = durable(pairs.select("a", "b", "weight"), "pairs")
+    found = durable(pairs.select(F.lit(0).alias("g"), "a", "b", "weight").groupBy("g").applyInPandas(louvain.run_all, "node bigint, community int"), "communities")
     lonely = people.select(F.col("user_id").alias("node")).join(found, "node", "left_anti")
     if pairs.isEmpty():
         return lonely.withColumn("community", F.lit(0))
@@ -160,18 +161,17 @@ def label_propagation(people: DataFrame, pairs: DataFrame, max_rounds: int = 100
 
     A node hears its neighbours' labels by weight, and its own with weight 1/2. Rounds go
     on until no label changes or labels come back to those of two rounds before (pairs
-    of nodes that swap theirs); beyond ``max_rounds`` it is an error.
+    of nodes that swap theirs); beyond ``max_rounds`` it is an error. Edges and labels are
+    stored tables, so no round makes the edges again.
     """
-    edges = symmetric(pairs)
-    reliable = people.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    keep = lambda df: df.checkpoint() if reliable else df.persist()
-    labels = keep(people.select(F.col("user_id").alias("node"), F.col("user_id").alias("community")))
+    edges = durable(symmetric(pairs), "edges")
+    labels = durable(people.select(F.col("user_id").alias("node"), F.col("user_id").alias("community")), "labels")
     sums: list = []
     for _ in range(max_rounds):
         heard = edges.join(labels.select(F.col("node").alias("neighbour"), "community"), "neighbour").groupBy("node", "community").agg(F.sum("weight").alias("w"))
         own = labels.withColumn("w", F.lit(0.5))
         best = heard.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).groupBy("node").agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("community"))
-        labels = keep(best)
+        labels = durable(best, "labels")
         sums.append(labels.agg(F.expr("bit_xor(xxhash64(node, community))")).first()[0])
         if sums[-1] in sums[-3:-1]:
             return labels
