@@ -65,3 +65,20 @@ def test_graph_rounds_make_no_edges_again(spark):
     assert made.value <= 22
     graph.label_propagation(people, pairs)
     assert made.value <= 44
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """Halfway values: the product by a million decides."""
+    import duckdb
+    from threadloom.plans import registry
+
+    rows = [(n, c / n) for n in range(1, 3300) for c in (1, 33)] + [(4480, 4487 / 4480)] + [(k, (k * 37 % 401 - 200) / 3200 + 0.07 * (k % 8)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "n bigint, x double")
+    registry.query("_rounded", "SELECT 1", "x")(lambda spark, d: df)
+    try:
+        got = sorted((r["n"], r["x"]) for r in registry.QUERIES["_rounded"](spark, "").collect())
+    finally:
+        del registry.QUERIES["_rounded"], registry.SQL["_rounded"]
+    with duckdb.connect() as sql:
+        frame = df.toPandas()  # noqa: F841
+        assert got == sorted(sql.sql("SELECT n, round(x, 6) + 0.0 FROM frame").fetchall())
