@@ -82,3 +82,27 @@ def test_rounding_is_that_of_the_sql(spark):
     with duckdb.connect() as sql:
         frame = df.toPandas()  # noqa: F841
         assert got == sorted(sql.sql("SELECT n, round(x, 6) + 0.0 FROM frame").fetchall())
+
+
+def test_density_clusters_of_many_points(spark):
+    """More points than one task was allowed, searched in tasks; the tree is the least one by all pairs."""
+    from threadloom.kernels import density
+    from threadloom.operators import clustering
+
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(c, 0.3, (300, 3)) for c in (0, 5)] + [np.repeat(r.normal(9, 0.1, (4, 3)), 20, 0)])
+    for samples in (2, 5, 25):
+        whole = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+        core = np.sort(whole, 1)[:, samples - 1]
+        reach = np.maximum(np.maximum(whole, core), core[:, None])
+        best, done, total = reach[0].copy(), np.zeros(len(x), bool), []
+        done[0] = True
+        for _ in range(len(x) - 1):
+            at = int(np.argmin(np.where(done, np.inf, best)))
+            total.append(best[at])
+            done[at], best = True, np.minimum(best, reach[at])
+        assert density.spanning_tree(x, samples)[:, 2] == pytest.approx(np.sort(total), rel=1e-9, abs=1e-12)
+    y = np.concatenate([r.normal(c, 0.1, (25_100, 1)) for c in (0, 9)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(y)], "id bigint, x array<double>")
+    got = clustering.density_clusters(df, 20_000, 2).toPandas().set_index("id").cluster.sort_index().to_numpy()
+    assert len(got) == 50_200 and set(got[:25_100]) - {-1} == {0} and set(got[25_100:]) - {-1} == {1}

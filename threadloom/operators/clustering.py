@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text, vectors
 from ..kernels import density, special
+from ..stored import durable
 from .eda import joined_text
 
 #: Features that users are clustered by.
@@ -115,10 +116,22 @@ def mixture(df: DataFrame, k: int = 4, seed: int = 42, x: str = "x", key: str =
 def density_clusters(df: DataFrame, least: int, samples: int, x: str = "x", key: str = "id") -> DataFrame:
     """``key, cluster`` by hierarchical density clustering, -1 for noise.
 
-    The algorithm needs all points; they go to one task, at most ``density.MOST_POINTS``.
+    Exact for any number of points: the neighbour searches run in tasks over broadcast points; the
+    spanning tree (a row for each point) and its clusters are made by the driver. Points are taken
+    in order of their key.
     """
-    run, schema = density.runner(least, samples, key, dict(df.dtypes)[key])
-    return df.select(F.lit(0).alias("g"), key, F.col(x).alias("x")).groupBy("g").applyInPandas(run, schema)
+    import numpy as np
+    import pyarrow as pa
+
+    spark = df.sparkSession
+    rows = df.select(key, F.col(x).cast("array<double>").alias("x")).toArrow().sort_by(key)
+    values = rows["x"].combine_chunks()
+    flat = values.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
+    labels = density.cluster(flat, least, samples, **density.searches(spark.sparkContext)).astype("int32")
+    schema = df.select(key).schema.add("cluster", "integer")
+    if not len(rows):
+        return spark.createDataFrame([], schema)
+    return durable(spark.createDataFrame(pa.table({key: rows[key], "cluster": labels}), schema), "clusters")
 
 
 #: Injected estimators. A scaler takes a frame and its columns and returns the frame; a reducer takes a frame, its
