@@ -106,3 +106,25 @@ def test_density_clusters_of_many_points(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(y)], "id bigint, x array<double>")
     got = clustering.density_clusters(df, 20_000, 2).toPandas().set_index("id").cluster.sort_index().to_numpy()
     assert len(got) == 50_200 and set(got[:25_100]) - {-1} == {0} and set(got[25_100:]) - {-1} == {1}
+
+
+def test_topic_coherence_counts_windows_as_an_explosion_would(spark):
+    """Windows and pairs by brute force; a long text is counted in linear time."""
+    from threadloom.operators import topics
+
+    r = np.random.default_rng(6)
+    texts = [[f"w{v}" for v in r.integers(0, 30, n)] for n in (0, 1, 3, 9, 40, 400)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    terms = spark.createDataFrame([(0, "w1"), (0, "w2"), (0, "w3"), (1, "w2"), (1, "w7"), (1, "absent")], "topic int, term string")
+    seen = [set(t[s : s + 5]) for t in texts if t is not None for s in range(max(len(t) - 5, 0) + 1)]
+    n, count = len(seen), lambda *w: sum(set(w) <= x for x in seen)
+    want = {}
+    for topic, words in ((0, ["w1", "w2", "w3"]), (1, ["w2", "w7", "absent"])):
+        m = np.zeros((3, 3))
+        for i, a in enumerate(words):
+            for j, b in enumerate(words):
+                p = count(a, b) / n + 1e-12
+                m[i, j] = np.log(p / (count(a) / n * count(b) / n)) / -np.log(p) if count(a) and count(b) else 0
+        s = m.sum(0)
+        want[topic] = np.mean([m[i] @ s / (np.linalg.norm(m[i]) * np.linalg.norm(s)) if m[i].any() else 0 for i in range(3)])
+    assert {r["topic"]: r["c_v"] for r in topics.coherence(df, terms, 5).collect()} == {k: pytest.approx(v) for k, v in want.items()}

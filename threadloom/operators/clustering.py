@@ -83,6 +83,7 @@ def matrix(df: DataFrame, columns: Sequence[str] = FEATURES, key: str = "id") ->
 
 def scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Zero mean and unit population deviation; constant columns only lose their mean."""
+    df = durable(df, "unscaled")
     limits = df.agg(*(f for c in columns for f in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))))
     out = df.crossJoin(F.broadcast(limits))
     out = out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0)) for c in columns})
@@ -94,7 +95,8 @@ def principal(df: DataFrame, columns: Sequence[str], share: float | None = None,
 
     Each component's sign is such that its largest loading is positive.
     """
-    data = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df)
+    # Two passes to fit and one for the scores, over what is stored once.
+    data = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(durable(df.select(key, *columns), "features"))
     model = PCA(k=k or len(columns), inputCol="_v", outputCol="_p").fit(data)
     if k is None:
         explained = model.explainedVariance.toArray().cumsum()
@@ -109,7 +111,8 @@ def mixture(df: DataFrame, k: int = 4, seed: int = 42, x: str = "x", key: str =
     """``key, gmm_cluster`` of a full-covariance Gaussian mixture."""
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select(key, array_to_vector(F.col(x)).alias("_v"))
+    # Each step of the fit reads the points, so what they are made from is not made again.
+    data = durable(df.select(key, F.col(x).alias("x")), "points").select(key, array_to_vector("x").alias("_v"))
     return GaussianMixture(k=k, seed=seed, featuresCol="_v", predictionCol="gmm_cluster").fit(data).transform(data).select(key, "gmm_cluster")
 
 
