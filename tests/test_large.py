@@ -128,3 +128,20 @@ def test_topic_coherence_counts_windows_as_an_explosion_would(spark):
         s = m.sum(0)
         want[topic] = np.mean([m[i] @ s / (np.linalg.norm(m[i]) * np.linalg.norm(s)) if m[i].any() else 0 for i in range(3)])
     assert {r["topic"]: r["c_v"] for r in topics.coherence(df, terms, 5).collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_change_points_drop_starts_that_can_not_be_best(monkeypatch):
+    """Results are those of all starts; a long series of steps takes work by its segments, not by its square."""
+    from threadloom.kernels import changepoint
+
+    r, slack = np.random.default_rng(7), changepoint.SLACK
+    for n in (4, 30, 120, 250):
+        x = np.repeat(r.normal(0, 3, n), r.integers(1, 60, n))[:n] + r.normal(size=n) * 0.3
+        monkeypatch.setattr(changepoint, "SLACK", 1e9)
+        every = changepoint.change_points(x)
+        monkeypatch.setattr(changepoint, "SLACK", slack)
+        assert changepoint.change_points(x) == every
+    cells, row = [], changepoint.kernel_row
+    monkeypatch.setattr(changepoint, "kernel_row", lambda x, at, width: cells.append(at + 1) or row(x, at, width))
+    x = np.tile(np.repeat([-0.45, 0.45], 500), 6) + r.random(6000) * 0.2
+    assert changepoint.change_points(x) == list(range(499, 5999, 500)) and sum(cells) < 6000 * 1500
